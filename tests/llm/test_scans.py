@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.cases import SF, awkward, frame, rows, same, synthetic
 from trackloom.llm import decontaminate, exact_dedup, packing, queries, secret_scan, token_count
-from trackloom.llm.tokens import SPACES, cut
+from trackloom.llm.tokens import SPACES, cut, led
 
 LOW = {c: c + 32 for c in range(65, 91)}
 
@@ -101,12 +101,13 @@ def test_contamination(spark, block_chars):
 def test_cuts_are_the_librarys(spark):
     library = Tokenizer.from_file(queries.tokenizer_path())
     r = random.Random(3)
-    parts = [*SPACES, *" \n  ", "a", "Z", "é", "1", "'s", "'", ".", "中", "!?", "́", "😀"]
+    parts = [*SPACES, *" \n  \n ", "b", "c", "a", "Z", "é", "1", "'s", "'", ".", "中", "!?", "́", "😀"]
     for _ in range(3000):
         t = "".join(r.choice(parts) for _ in range(r.randrange(14)))
         pieces = cut(t)
-        assert " ".join(pieces) == t
-        ids = [x for j, p in enumerate(pieces) for x in library.encode(" " * (j > 0) + p, add_special_tokens=False).ids]
+        pieces = [*pieces[:1], *map(led, pieces[1:])]
+        assert "".join(pieces) == t
+        ids = [x for p in pieces for x in library.encode(p, add_special_tokens=False).ids]
         assert ids == library.encode(t, add_special_tokens=False).ids, t
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import checkpoint, slices, texts_of
-from trackloom.llm.tokens import PieceEncoder
+from trackloom.llm.tokens import worker_encoder
 
 #: Pieces that a shard holds on average.
 SHARD = 8192
@@ -80,7 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer, lambda x: array("I", x.ids).tobytes())
+        encoder = worker_encoder(tokenizer, "ids", lambda x: array("I", x.ids).tobytes(), b"".join)
         for batch in batches:
             for part in slices(batch, 1):
                 rows: list[tuple[int, int, int, int, int]] = []

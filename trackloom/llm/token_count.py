@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import map_texts, sampled, texts_of
-from trackloom.llm.tokens import LONGEST, PieceEncoder, cut
+from trackloom.llm.tokens import LONGEST, PieceEncoder, cut, led, worker_encoder
 
 #: Documents of at most ``SAMPLE_BYTES`` from which the frequent pieces are taken, and entries of the table that is broadcast. They
 #: bound the table at about 2 MB; they change speed only, never a count.
@@ -31,11 +31,11 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
     texts = texts_of(docs, id_col, text_col)
     pieces = frequent_pieces(texts)
-    lengths = PieceEncoder(tokenizer, len)
-    table = docs.sparkSession.sparkContext.broadcast(dict(zip(pieces, lengths.encode([" " + p for p in pieces]), strict=True)))
+    lengths = PieceEncoder(tokenizer, len, sum)
+    table = docs.sparkSession.sparkContext.broadcast(dict(zip(pieces, lengths.encode(list(map(led, pieces))), strict=True)))
 
     def make():
-        encoder = PieceEncoder(tokenizer, len, table.value)
+        encoder = worker_encoder(tokenizer, "lengths", len, sum, table.value)
         return lambda texts: {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": [sum(x) for x in encoder.batch(texts)]}
 
     return map_texts(texts, make, {"n_bytes": "bigint", "n_tokens": "bigint"}).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -9,14 +9,20 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import filterfalse
+import re
+from itertools import chain
 
 #: White space of Unicode and of Python; a space before any of these is no cut.
 SPACES = frozenset(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Longest piece that is remembered, in characters.
 LONGEST = 48
-#: Pieces that a worker remembers besides the frequent ones.
-REMEMBERED = 300_000
+#: Pieces, and pre-tokens within them, that a worker remembers (about 200 bytes each).
+REMEMBERED, REMEMBERED_INNER = 600_000, 300_000
+#: White space other than single spaces and line feeds between other characters.
+ODD = re.compile("[ \n](?=[" + "".join(sorted(SPACES)) + "]|\\Z)|[" + "".join(sorted(SPACES - {" ", "\n"})) + "]")
+#: The library's own pattern, with letters and digits spelled out for texts of ``PLAIN`` characters alone.
+PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r"[\n\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 
 
 def load(path: str):
@@ -32,10 +38,10 @@ def added_strings(path: str) -> list[str]:
 
 
 def cut(text: str) -> list[str]:
-    """Pieces whose ``" ".join`` is the text; each but the first begins with no white space."""
+    """Pieces of the text: the first as it is, others without the space that leads them; one led by a line feed keeps that instead."""
+    if not ODD.search(text):
+        return text.replace("\n", " \n").split(" ")
     parts = text.split(" ")
-    if all(p and p[0] not in SPACES for p in parts[1:]):
-        return parts
     out = parts[:1]
     for p in parts[1:]:
         if p and p[0] not in SPACES:
@@ -45,43 +51,80 @@ def cut(text: str) -> list[str]:
     return out
 
 
+def led(piece: str) -> str:
+    """What a piece other than the first stands for."""
+    return piece if piece[0] == "\n" else " " + piece
+
+
 class PieceEncoder:
-    """Values of texts, summed or joined over their pieces; ``value`` makes one from the library's encoding."""
+    """Values of texts over their pieces: ``value`` makes one from the library's encoding, ``total`` one from several.
+
+    A piece is looked up whole; one that is not known and of plain characters is looked up by its pre-tokens; only what is still not
+    known goes to the library. Tables are filled until they hold ``REMEMBERED`` entries and then stay as they are.
+    """
 
-    def __init__(self, path: str, value, frequent: dict | None = None):
-        self.tokenizer, self.added, self.value = load(path), added_strings(path), value
-        self.frequent = frequent or {}
-        self.cache = dict(self.frequent)
+    def __init__(self, path: str, value, total, frequent: dict | None = None):
+        self.tokenizer, self.added, self.value, self.total = load(path), added_strings(path), value, total
+        self.pieces, self.inner = dict(frequent or {}), {}
 
     def encode(self, texts: list[str]) -> list:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [self.value(x) for x in found]
+        return [self.value(x) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(self, text: str) -> bool:
         return any(x in text for x in self.added)
 
+    def learn(self, texts: list[str]) -> list:
+        """The value of each text, none of which may hold an added token's string."""
+        inner, total = self.inner, self.total
+        split = [PRE_TOKEN.findall(t) if PLAIN.fullmatch(t) else (t,) for t in texts]
+        alone = [t for t, x in zip(texts, split, strict=True) if len(x) == 1]
+        unknown = list(set(chain.from_iterable(x for x in split if len(x) > 1)).difference(inner))
+        values = self.encode(unknown + alone)
+        inner.update(zip(unknown, values, strict=False))
+        whole = iter(values[len(unknown) :])
+        out = [next(whole) if len(x) == 1 else total(map(inner.__getitem__, x)) for x in split]
+        forget(inner, unknown, REMEMBERED_INNER)
+        return out
+
     def batch(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces, in order."""
-        cache, heads, cuts, missing = self.cache, [], [], set()
+        get, heads, out, holes, missing = self.pieces.get, [], [], [], {}
         for text in texts:
-            if self.whole(text):
-                heads.append(text)
-                cuts.append(())
-                continue
-            parts = cut(text)
+            parts = [text] if self.whole(text) else cut(text)
             heads.append(parts[0])
-            cuts.append(rest := parts[1:])
-            missing.update(filterfalse(cache.__contains__, rest))
-        if missing:
-            new = dict(zip(missing, self.encode([" " + p for p in missing]), strict=True))
-            cache.update(new)
-        first = dict(zip(u := list(set(heads)), self.encode(u), strict=True))
-        out = [[first[h], *map(cache.__getitem__, c)] for h, c in zip(heads, cuts, strict=True)]
-        if missing:
-            if len(cache) > len(self.frequent) + REMEMBERED:
-                self.cache = dict(self.frequent)
-            else:
-                for p in missing:
-                    if len(p) > LONGEST:
-                        del cache[p]
+            parts[0] = ""
+            values = list(map(get, parts))
+            out.append(values)
+            at = [i for i, v in enumerate(values) if v is None]
+            holes.append((at, [missing.setdefault(parts[i], len(missing)) for i in at[1:]]))
+        new = list(missing)
+        learned = self.learn(list(map(led, new)))
+        whole = [h for h in heads if self.whole(h)]
+        rest = [h for h in heads if not self.whole(h)]
+        first = dict(zip([*whole, *rest], [*self.encode(whole), *self.learn(rest)], strict=True))
+        for head, values, (at, of) in zip(heads, out, holes, strict=True):
+            values[0] = first[head]
+            for i, k in zip(at[1:], of, strict=True):
+                values[i] = learned[k]
+        room = REMEMBERED - len(self.pieces)
+        if room > 0:
+            self.pieces.update((p, v) for p, v in zip(new, learned, strict=True) if len(p) <= LONGEST)
         return out
+
+
+def forget(table: dict, new: list[str], most: int) -> None:
+    """Take the new entries out again where the table is full, and long ones in any case."""
+    full = len(table) > most
+    for p in new:
+        if full or len(p) > LONGEST:
+            del table[p]
+
+
+ENCODERS: dict = {}
+
+
+def worker_encoder(path: str, name: str, value, total, frequent: dict | None = None) -> PieceEncoder:
+    """The encoder of this worker process for ``name``; what it has learned serves later tasks too."""
+    if (path, name) not in ENCODERS:
+        ENCODERS[path, name] = PieceEncoder(path, value, total, frequent)
+    return ENCODERS[path, name]
