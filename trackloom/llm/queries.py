@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, exact_dedup, packing, secret_scan, token_count
+from trackloom.llm import decontaminate, exact_dedup, license_scan, packing, quality, secret_scan, token_count, toxicity
 from trackloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,18 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in secret_scan.KINDS[:3]), F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"), F.concat_ws(",", spelled).alias("spans"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(documents(spark, sf_dir)).drop("blocks")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate(F.transform("hit_words", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0), lambda a, x: a + x).cast("bigint")
@@ -52,6 +64,9 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_token_count": op10_token_count,
