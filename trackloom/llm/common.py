@@ -91,3 +91,34 @@ def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", most: int =
     """Semi or anti join on doc_id: a broadcast where the ids, counted first, are at most ``most``, else a shuffled join."""
     few = ids.select("doc_id").limit(most + 1).count() <= most
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+
+
+def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """``function`` on the rows of each group, where groups are many and of bounded size.
+
+    One shuffle and sort by the keys; a task streams over its groups, so a small group costs no call of its own machinery.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows = list(zip(*(table[k].to_pylist() for k in keys), strict=True))
+            at = 0
+            for i, key in enumerate(rows):
+                if key != last:
+                    if i > at:
+                        held.append(table.slice(at, i - at))
+                    if held:
+                        yield from done(held)
+                    held, at, last = [], i, key
+            held.append(table.slice(at))
+        if held:
+            yield from done(held)
+
+    def done(parts: list[pa.Table]) -> list[pa.RecordBatch]:
+        out = function(pa.concat_tables(parts))
+        return [] if out is None else out.to_batches()
+
+    return df.repartition(partitions_for(df), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, exact_dedup, license_scan, packing, quality, secret_scan, token_count, toxicity
+from trackloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, secret_scan, token_count, toxicity
 from trackloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), words=2)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(documents(spark, sf_dir)).drop("blocks")
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_toxicity": op3_toxicity,
+    "op5_near_dedup": op5_near_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
