@@ -87,10 +87,11 @@ def sampled(docs: DataFrame, id_col: str, size: int, seed: int = 7) -> DataFrame
     return docs.filter(F.coalesce(F.pmod(F.xxhash64(named(id_col), F.lit(seed)), F.lit(total)), F.lit(0)) < size).limit(2 * size)
 
 
-def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
-    """Semi or anti join on doc_id: a broadcast where the ids, counted first, are at most ``most``, else a shuffled join."""
-    few = ids.select("doc_id").limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = 1_000_000, keys: list[str] | None = None) -> DataFrame:
+    """Semi or anti join on doc_id (or ``keys``): a broadcast where the ids, counted first, are at most ``most``, else a shuffled join."""
+    keys = keys or ["doc_id"]
+    few = ids.select(*keys).limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids.select(*keys)) if few else ids.select(*keys).hint("merge"), keys, how)
 
 
 def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
