@@ -1,0 +1,6 @@
+"""All registered queries over the telemetry operators."""
+
+from trackloom.plans import trip_queries
+from trackloom.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "trip_queries"]
