@@ -12,15 +12,16 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_texts, only_ids, sampled, texts_of
+from trackloom.llm.common import checkpoint, map_texts, only_ids, partitions_for, sampled, texts_of
 
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\xBF×÷]+")
 DIGITS, UPPER, END = [*range(48, 58)], [*range(65, 91)], [33, 63]
@@ -126,21 +127,19 @@ def scaling(g: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
     return (float(v[0]), float(v[1])) if np.isfinite(v).all() and v[0] > 0 else (1.0, 0.0)
 
 
-def fit_rows(x: list[list[float]], hashes: list[np.ndarray], role: np.ndarray, prior: float, settings: Settings) -> Model:
-    """The model from features of positives (role 1), unlabelled texts (0) and trusted ones of label 0 (2) and 1 (3)."""
+def fit_rows(x: list[list[float]], columns: list[list[int]], chosen: list[int], role: np.ndarray, prior: float, settings: Settings) -> Model:
+    """The model from positives (role 1), unlabelled texts (0) and trusted ones of label 0 (2) and 1 (3): their shapes ``x`` and, in
+    ``columns``, which of the ``chosen`` words they hold."""
     shapes, n_pos, n_unl = np.array(x), int((role == 1).sum()), int((role == 0).sum())
     edges = [np.unique(np.quantile(shapes[role == 0, j], np.linspace(0, 1, settings.bins + 1)[1:-1])) for j in range(shapes.shape[1])]
     parts = []
     for j, e in enumerate(edges):
         at = np.searchsorted(e, shapes[:, j])
         parts.append((at[:, None] == np.arange(len(e) + 1)).astype(np.float32))
-    chosen = pick_words([h for h, r in zip(hashes, role, strict=True) if r < 2], role[role < 2] == 1, settings) if settings.words else np.empty(0, np.int64)
-    if len(chosen):
+    if chosen:
         has = np.zeros((len(x), len(chosen)), np.float32)
-        for i, h in enumerate(hashes):
-            at = np.searchsorted(chosen, h)
-            ok = at < len(chosen)
-            has[i, at[ok][chosen[at[ok]] == h[ok]]] = 1
+        for i, at in enumerate(columns):
+            has[i, at] = 1
         parts.append(has)
     m = np.hstack(parts)
     pos, unl = m[role == 1], m[role == 0]
@@ -163,20 +162,29 @@ def fit_rows(x: list[list[float]], hashes: list[np.ndarray], role: np.ndarray, p
     for e in edges:
         bins.append(w[at : at + len(e) + 1])
         at += len(e) + 1
-    return Model(edges, bins, dict(zip(map(int, chosen), map(float, w[at:]), strict=True)), b)
+    return Model(edges, bins, dict(zip(chosen, map(float, w[at:]), strict=True)), b)
 
 
-def pick_words(hashes: list[np.ndarray], positive: np.ndarray, settings: Settings) -> np.ndarray:
+def chosen_words(sample: DataFrame, settings: Settings) -> list[int]:
     """Hashes, ascending, of the words whose share of documents differs most between positives and unlabelled text."""
-    empty = [np.empty(0, np.int64)]
-    words, at = np.unique(np.concatenate([*hashes, *empty]), return_inverse=True)
-    flags = np.repeat(positive, [len(h) for h in hashes])
-    p, u = np.bincount(at[flags], minlength=len(words)), np.bincount(at[~flags], minlength=len(words))
-    n_p, n_u = positive.sum(), (~positive).sum()
-    pooled = (p + u + 1) / (n_p + n_u + 2)
-    z = np.abs(p / n_p - u / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-z, kind="stable")[: settings.words]
-    return np.sort(words[best[(z[best] >= settings.lift) & (p[best] + u[best] >= 5)]])
+    sizes = {r.role: r.n for r in sample.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_p or not n_u or not settings.words:
+        return []
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, Counter] = Counter(), Counter()
+        for batch in batches:
+            for role, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[role].update(levels(text))
+        for role in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen[role]), pa.int64()), pa.array([role] * len(seen[role]), pa.int32()), pa.array(list(seen[role].values()), pa.int64())], names=["word", "role", "n"])
+
+    counted = sample.filter("role < 2").select("role", "text").mapInArrow(count, "word bigint, role int, n bigint")
+    both = counted.groupBy("word").agg(F.sum(F.col("n") * F.col("role")).alias("p"), F.sum(F.col("n") * (1 - F.col("role"))).alias("u")).filter("p + u >= 5")
+    pooled = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
+    return sorted(r.word for r in both.select("word", z.alias("z")).filter(F.col("z") >= settings.lift).orderBy(F.desc("z"), "word").limit(settings.words).collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, trusted: Column, settings: Settings) -> Model:
@@ -198,18 +206,18 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column, settings: Settings)
     for label in (0, 1):
         ids = by_hash(known, settings.scaling).filter(F.col("label") == label)
         rows = rows.unionByName(trusted_rows(ids, settings.scaling).withColumn("role", F.lit(2 + label)))
-    with_words = settings.words > 0
+    sample = checkpoint(rows.repartition(partitions_for(docs)))
+    chosen = chosen_words(sample, settings)
 
     def make() -> Callable[[list], dict]:
-        return lambda texts: {"shape": [shape(t) for t in texts], "hashes": [sorted(levels(t)) if with_words else [] for t in texts]}
+        at = {h: i for i, h in enumerate(chosen)}
+        return lambda texts: {"shape": [shape(t) for t in texts], "columns": [sorted(at[h] for h in at.keys() & levels(t)) if at else [] for t in texts]}
 
-    table = map_texts(rows, make, {"shape": "array<double>", "hashes": "array<bigint>"}, keep=("doc_id", "role")).toArrow().sort_by([("role", "ascending"), ("doc_id", "ascending")])
+    table = map_texts(sample, make, {"shape": "array<double>", "columns": "array<int>"}, keep=("doc_id", "role")).toArrow().sort_by([("role", "ascending"), ("doc_id", "ascending")])
     role = np.array(table["role"].to_pylist(), int)
     if not (role == 1).any() or not (role == 0).any():
         return neutral
-    offsets = np.cumsum([0, *(len(x) for x in table["hashes"])])
-    flat = table["hashes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return fit_rows(table["shape"].to_pylist(), [flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], role, prior, settings)
+    return fit_rows(table["shape"].to_pylist(), table["columns"].to_pylist(), chosen, role, prior, settings)
 
 
 def scored(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: int, threshold: float, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
