@@ -29,17 +29,19 @@ def unseen(messages: DataFrame, stored: DataFrame) -> DataFrame:
 def with_lateness(fresh: DataFrame, cfg: ReorderConfig = ReorderConfig()) -> DataFrame:
     """Adds ``late`` in closed form, for devices whose event time rises with the sequence number and whose buffers never fill up.
 
-    ``fresh`` has one row for each key and a distinct ``arrival`` within a device. A message is late if, before it arrived, one of a
-    higher number had fallen out of the window. Only the earliest event time among those matters: that of the least higher number that
-    had arrived. Running extremes over blocks of arrivals would do; here the rows before it are compared within the device.
+    ``fresh`` has one row for each key and a distinct ``arrival`` within a device. A message falls out of the window once it has arrived
+    and so has one whose event time is ``window_ms`` later; from then on every lower number is late. So each message gets the arrival at
+    which it falls out, and a running maximum over arrivals and fall-outs together tells how far the buffer has gone. Three sorts of the
+    device's rows, linear otherwise, and one shuffle.
     """
-    before = Window.partitionBy("device_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    seen = fresh.withColumn("newest", F.max("ts_ms").over(before)).withColumn("top", F.max("seq").over(before))
-    # only a message that some higher number overtook can be late, and those are few
-    overtaken = seen.filter("top > seq").select("device_id", "seq", "arrival", "newest")
-    earlier = fresh.select("device_id", F.col("seq").alias("e_seq"), F.col("ts_ms").alias("e_ts"), F.col("arrival").alias("e_arrival"))
-    late = overtaken.join(earlier, "device_id").filter("e_arrival < arrival and e_seq > seq").groupBy("device_id", "seq").agg((F.max("newest") - F.min("e_ts") >= cfg.window_ms).alias("late"))
-    return fresh.join(late.filter("late"), ["device_id", "seq"], "left").withColumn("late", F.coalesce("late", F.lit(False)))
+    later = Window.partitionBy("device_id").orderBy(-F.col("ts_ms")).rangeBetween(Window.unboundedPreceding, -cfg.window_ms)
+    known = fresh.withColumn("falls_out", F.greatest(F.min("arrival").over(later), F.when(F.min("arrival").over(later).isNotNull(), F.col("arrival"))))
+    came = F.struct(F.col("arrival").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("gone"))
+    fell = F.when(F.col("falls_out").isNotNull(), F.struct(F.col("falls_out").alias("at"), F.lit(1).alias("kind"), F.col("seq").alias("gone")))
+    steps = known.withColumn("step", F.explode(F.array_compact(F.array(came, fell))))
+    in_time = Window.partitionBy("device_id").orderBy("step.at", "step.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gone = steps.withColumn("passed", F.max("step.gone").over(in_time)).filter("step.kind = 0")
+    return gone.select(*fresh.columns, F.coalesce(F.col("passed") > F.col("seq"), F.lit(False)).alias("late"))
 
 
 def offered(messages: DataFrame, cfg: ReorderConfig = ReorderConfig()) -> DataFrame:

@@ -92,8 +92,9 @@ def idle_ms() -> Column:
     return F.greatest(F.col("ts_ms") - F.col("idle_from.ts"), F.lit(0))
 
 
-def all_trips(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
-    """Closed trips and, with a null ``end_reason``, those still open at the end of a device's points.
+def all_trips(points: DataFrame, cfg: TripConfig = TripConfig(), segments: bool = False) -> DataFrame:
+    """Closed trips and, with a null ``end_reason``, those still open at the end of a device's points; with ``segments`` also the recorded
+    idle periods of each as an array.
 
     Distance and end of a timed-out trip are those where idling began; its count of points and top speed include the idle tail.
     """
@@ -114,6 +115,7 @@ def all_trips(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
         F.max(F.when(F.col("times_out"), F.col("idle"))).alias("stop"),
         F.sum(recorded).alias("idle_ms"),
         F.count(recorded).alias("n_idle"),
+        *([F.collect_list(F.when(recorded.isNotNull(), F.struct(F.col("idle_from.seq").alias("seq"), F.col("idle_from.ts").alias("from_ms"), F.col("ts_ms").alias("to_ms")))).alias("segment")] if segments else []),
     )
     latest = lambda c: F.max_by(c, "run")
     t = runs.groupBy("device_id", "trip").agg(
@@ -126,12 +128,13 @@ def all_trips(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
         F.sum("n").cast("int").alias("point_count"),
         F.max("top").alias("max_speed_kph"),
         F.when(F.max("stop").isNotNull(), "idle_timeout").when(latest("last_input") == "off", "ignition_off").when(latest("has_next"), "gap").alias("end_reason"),
+        *([F.flatten(F.collect_list("segment")).alias("segments")] if segments else []),
     )
     return t.select(
         "device_id", F.col("first.seq").alias("start_seq"), F.col("end.seq").alias("end_seq"), F.col("first.ts").alias("start_ms"), F.col("end.ts").alias("end_ms"),
         F.coalesce("anchor.lat", "first.lat").alias("start_lat"), F.coalesce("anchor.lon", "first.lon").alias("start_lon"), F.col("end.lat").alias("end_lat"), F.col("end.lon").alias("end_lon"),
         "distance_m", (F.greatest(F.col("end.ts") - F.col("first.ts"), F.lit(0)) / 1000).alias("duration_s"), (F.col("idle_ms") / 1000).alias("idle_s"),
-        "point_count", F.col("max_speed_kph").cast("float").alias("max_speed_kph"), "end_reason", "idle_segments",
+        "point_count", F.col("max_speed_kph").cast("float").alias("max_speed_kph"), "end_reason", "idle_segments", *(["segments"] if segments else []),
     )
 
 
@@ -147,11 +150,9 @@ def open_trips(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
 
 def idle_segments(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
     """Recorded idle periods of closed trips, each with its trip's first sequence number."""
-    p = annotated(points, cfg)
-    rows = p.filter("idle_from is not null").filter(idle_ms() >= cfg.min_idle_ms)
-    rows = rows.select("device_id", F.col("idle_from.seq").alias("start_seq"), F.col("idle_from.ts").alias("start_ms"), F.col("ts_ms").alias("end_ms"), (idle_ms() / 1000).alias("duration_s"))
-    of = trips(points, cfg).select("device_id", F.col("start_seq").alias("trip_start_seq"), "end_seq")
-    return rows.join(of, "device_id").filter("start_seq between trip_start_seq and end_seq").select("device_id", "trip_start_seq", "start_seq", "start_ms", "end_ms", "duration_s")
+    t = all_trips(points, cfg, segments=True).filter("end_reason is not null").select("device_id", F.col("start_seq").alias("trip_start_seq"), F.explode("segments").alias("s"))
+    length = F.greatest(F.col("s.to_ms") - F.col("s.from_ms"), F.lit(0)) / 1000
+    return t.select("device_id", "trip_start_seq", F.col("s.seq").alias("start_seq"), F.col("s.from_ms").alias("start_ms"), F.col("s.to_ms").alias("end_ms"), length.alias("duration_s"))
 
 
 def trip_events(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
@@ -180,19 +181,21 @@ TRANSITIONS = (
 )
 
 
+def state() -> Column:
+    """The state after a point, from the annotated columns."""
+    ended = (F.col("on_trip") & (F.col("input") == "off")) | F.col("times_out")
+    return F.when(ended, "trip_ended").when(F.col("on_trip") & (F.col("input") == "moving"), "moving").when(F.col("on_trip"), "idle").otherwise("parked")
+
+
 def states(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
     """(device_id, seq, state): the state after each point."""
-    p = annotated(points, cfg)
-    ended = (F.col("on_trip") & (F.col("input") == "off")) | F.col("times_out")
-    return p.select("device_id", "seq", F.when(ended, "trip_ended").when(F.col("on_trip") & (F.col("input") == "moving"), "moving").when(F.col("on_trip"), "idle").otherwise("parked").alias("state"))
+    return annotated(points, cfg).select("device_id", "seq", state().alias("state"))
 
 
 def transitions(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
     """(device_id, seq, from_state, input, to_state, step): a gap first, then the message itself."""
-    s = states(points, cfg).withColumn("before", F.coalesce(F.lag("state").over(by_seq()), F.lit("parked")))
-    both = annotated(points, cfg).select("device_id", "seq", "gap", "input").join(s, ["device_id", "seq"])
-    active = F.col("before").isin("moving", "idle")
-    after_gap = F.when(F.col("gap") & active, "trip_ended").otherwise(F.col("before"))
+    p = annotated(points, cfg).withColumn("state", state()).withColumn("before", F.coalesce(F.lag("state").over(by_seq()), F.lit("parked")))
+    after_gap = F.when(F.col("gap") & F.col("before").isin("moving", "idle"), "trip_ended").otherwise(F.col("before"))
     row = lambda a, i, b, n: F.struct(a.alias("from_state"), i.alias("input"), b.alias("to_state"), F.lit(n).alias("step"))
     every = F.array(F.when(F.col("gap"), row(F.col("before"), F.lit("gap"), after_gap, 0)), row(after_gap, F.col("input"), F.col("state"), 1))
-    return both.select("device_id", "seq", F.explode(F.array_compact(every)).alias("t")).select("device_id", "seq", "t.*")
+    return p.select("device_id", "seq", F.explode(F.array_compact(every)).alias("t")).select("device_id", "seq", "t.*")
