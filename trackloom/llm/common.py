@@ -10,11 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to a Python function at once, in bytes; a longer single text goes alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
 
+#: What this worker process remembers for the operator that it served last.
+REMEMBERED: dict[tuple, object] = {}
+
+
+def remembered(key: tuple, make: Callable[[], object]):
+    """What ``make`` gave for this key in this worker process. Only one key is held, so that a worker that serves one operator after
+    another never holds the tables of two."""
+    if key not in REMEMBERED:
+        REMEMBERED.clear()
+        REMEMBERED[key] = make()
+    return REMEMBERED[key]
+
+
 def named(name: str) -> Column:
     """The column of this exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -58,6 +71,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], added:
             for part in slices(batch, names_of(batch).index(text_col)):
                 columns = function(part.column(names_of(part).index(text_col)).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(names_of(part).index(k)) for k in keep] + [pa.array(columns[k], t) for k, t in arrow.items()], names=names)
+            pa.default_memory_pool().release_unused()
 
     return df.select(*keep, text_col).mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, map_groups, map_texts, only_ids, texts_of
+from trackloom.llm.common import checkpoint, map_groups, map_texts, only_ids, remembered, texts_of
 from trackloom.llm.graph import components
 
 SKETCH, RUN, CELL, WIDE = 40, 3, 1024, 128
@@ -38,20 +38,17 @@ class WordHashes(dict):
         import xxhash
 
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 250_000:
             self[word] = found
         return found
 
 
-HASHES = WordHashes()
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the shingles of ``words`` words; of all words together where there are fewer."""
     found = text.encode().lower().split()
     if not found:
         return np.empty(0, np.int64)
-    a = np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+    a = np.fromiter(map(remembered(("word hashes",), WordHashes).__getitem__, found), np.uint64, len(found))
     k = min(words, len(found))
     h = np.full(len(found) - k + 1, k, np.uint64)
     for j in range(k):

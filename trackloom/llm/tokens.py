@@ -12,12 +12,14 @@ import os
 import re
 from itertools import chain
 
+from trackloom.llm.common import remembered
+
 #: White space of Unicode and of Python; a space before any of these is no cut.
 SPACES = frozenset(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Longest piece that is remembered, in characters.
 LONGEST = 48
 #: Pieces, and pre-tokens within them, that a worker remembers (about 200 bytes each).
-REMEMBERED, REMEMBERED_INNER = 600_000, 300_000
+PIECES, INNER = 500_000, 200_000
 #: White space other than single spaces and line feeds between other characters.
 ODD = re.compile("[ \n](?=[" + "".join(sorted(SPACES)) + "]|\\Z)|[" + "".join(sorted(SPACES - {" ", "\n"})) + "]")
 #: The library's own pattern, with letters and digits spelled out for texts of ``PLAIN`` characters alone.
@@ -60,7 +62,7 @@ class PieceEncoder:
     """Values of texts over their pieces: ``value`` makes one from the library's encoding, ``total`` one from several.
 
     A piece is looked up whole; one that is not known and of plain characters is looked up by its pre-tokens; only what is still not
-    known goes to the library. Tables are filled until they hold ``REMEMBERED`` entries and then stay as they are.
+    known goes to the library. Tables are filled until they hold ``PIECES`` and ``INNER`` entries and then stay as they are.
     """
 
     def __init__(self, path: str, value, total, frequent: dict | None = None):
@@ -83,7 +85,7 @@ class PieceEncoder:
         inner.update(zip(unknown, values, strict=False))
         whole = iter(values[len(unknown) :])
         out = [next(whole) if len(x) == 1 else total(map(inner.__getitem__, x)) for x in split]
-        forget(inner, unknown, REMEMBERED_INNER)
+        forget(inner, unknown, INNER)
         return out
 
     def batch(self, texts: list[str]) -> list[list]:
@@ -106,7 +108,7 @@ class PieceEncoder:
             values[0] = first[head]
             for i, k in zip(at[1:], of, strict=True):
                 values[i] = learned[k]
-        room = REMEMBERED - len(self.pieces)
+        room = PIECES - len(self.pieces)
         if room > 0:
             self.pieces.update((p, v) for p, v in zip(new, learned, strict=True) if len(p) <= LONGEST)
         return out
@@ -120,11 +122,6 @@ def forget(table: dict, new: list[str], most: int) -> None:
             del table[p]
 
 
-ENCODERS: dict = {}
-
-
 def worker_encoder(path: str, name: str, value, total, frequent: dict | None = None) -> PieceEncoder:
     """The encoder of this worker process for ``name``; what it has learned serves later tasks too."""
-    if (path, name) not in ENCODERS:
-        ENCODERS[path, name] = PieceEncoder(path, value, total, frequent)
-    return ENCODERS[path, name]
+    return remembered(("encoder", path, name), lambda: PieceEncoder(path, value, total, frequent))
