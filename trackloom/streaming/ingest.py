@@ -8,7 +8,7 @@ may come in any order within a micro-batch; they are sorted by ``arrival`` first
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -141,9 +141,9 @@ def idle_of(t: DataFrame) -> DataFrame:
     return s.select("device_id", "trip_start_seq", F.col("s")[0].alias("start_seq"), F.col("s")[1].alias("start_ms"), F.col("s")[2].alias("end_ms"), length.alias("duration_s"))
 
 
-def sink(base: str):
+def sink(base: str, on_trips: Callable[[DataFrame, int], None] | None = None):
     """A ``foreachBatch`` function. Each table gets a folder for each batch, which a repeated batch overwrites: rows count once, and no
-    stored row is ever read back."""
+    stored row is ever read back. ``on_trips`` gets the trips of each batch once they are written."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
         rows = rows.persist()
@@ -151,6 +151,8 @@ def sink(base: str):
             t = trips_of(rows)
             for name, df in (("points", points_of(rows)), ("trips", t.drop("segments")), ("idle_segments", idle_of(t))):
                 df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+            if on_trips:
+                on_trips(t.drop("segments"), batch_id)
         finally:
             rows.unpersist()
 
@@ -163,7 +165,7 @@ def read_store(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, Da
     return read("points", POINT), read("trips", TRIPS), read("idle_segments", IDLE_SEGMENTS)
 
 
-def start(spark: SparkSession, source: str, base: str, checkpoint: str, cfg: StreamConfig = StreamConfig(), partitions: int | None = None, timers: bool = True, **trigger) -> StreamingQuery:
+def start(spark: SparkSession, source: str, base: str, checkpoint: str, cfg: StreamConfig = StreamConfig(), partitions: int | None = None, timers: bool = True, on_trips: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
     """Ingest from JSON-line files of envelopes into tables under ``base``; ``trigger`` as for ``writeStream.trigger``.
 
     A message is acknowledged by the commit of its offsets, which follows the batch's write; backpressure is the number of files a
@@ -171,4 +173,4 @@ def start(spark: SparkSession, source: str, base: str, checkpoint: str, cfg: Str
     """
     valid = validated(message_stream(spark, source, cfg.max_files_per_trigger), partitions).filter("error is null")
     rows = tagged(valid.select("device_id", "seq", "ts_ms", "lat", "lon", "speed_kph", "ignition", "arrival"), cfg, timers)
-    return rows.writeStream.foreachBatch(sink(base)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    return rows.writeStream.foreachBatch(sink(base, on_trips)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
