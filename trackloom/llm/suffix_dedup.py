@@ -65,7 +65,7 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring strings with one anchor: text, first and last start in it, anchor; and where each text begins."""
+    """Runs of neighbouring strings with one anchor: text, first and last start in it, 48 bits of the anchor; and where each text begins."""
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(texts) else np.empty(0, np.int64)
     a = anchors(np.frombuffer(b"".join(texts), np.uint8))
@@ -81,7 +81,18 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     last = np.flatnonzero(inside[1:-1] & (opens[2:] | ~inside[2:] | change[1:]))
     text = np.searchsorted(begins, first, "right") - 1
     # texts of no bytes begin where the next one does; searchsorted then gives the last of them, which is the one with bytes
-    return text, first - begins[text], last - begins[text], a[first], begins
+    return text, first - begins[text], last - begins[text], (a[first] * U64(0xD1342543DE82EF95)) >> U64(16), begins
+
+
+def six_bytes(values: np.ndarray) -> bytes:
+    """Numbers below 2**48 in six bytes each. Anchors that collide in them only make candidates; bytes decide in the end."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_six_bytes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(U64)
 
 
 def packed(**columns) -> dict[str, bytes]:
@@ -105,7 +116,7 @@ def anchor_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets:
     head[1:] = anchor[1:] != anchor[:-1]
     group = np.cumsum(head) - 1
     several = (np.bincount(group, weights=new) > 1)[group]
-    yield {"bucket": int(bucket_of(anchor[:1], buckets)[0]), "kind": 1} | packed(ids=ids[text[several]], marks=marks[text[several]], anchors=anchor[several])
+    yield {"bucket": int(bucket_of(anchor[:1], buckets)[0]), "kind": 1, "anchors": six_bytes(anchor[several])} | packed(ids=ids[text[several]], marks=marks[text[several]])
     send = head & several | ~several
     whose = np.where(several, -1, text)[send]
     anchor = anchor[send]
@@ -113,10 +124,10 @@ def anchor_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets:
     order = np.argsort(bucket, kind="stable")
     bucket, anchor, whose = bucket[order], anchor[order], whose[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    narrow = np.uint16 if len(texts) < 65_535 else np.uint32
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        rows, at = np.unique(whose[a:b], return_inverse=True)
-        known = rows >= 0
-        yield {"bucket": int(bucket[a]), "kind": 0} | packed(ids=np.where(known, ids[rows], 0), marks=np.where(known, marks[rows], 0), anchors=anchor[a:b], at=(at - (0 if known.all() else 1)).astype(np.int32))
+        rows, at = np.unique(np.append(whose[a:b], -1), return_inverse=True)  # number 0 is no document
+        yield {"bucket": int(bucket[a]), "kind": 0, "anchors": six_bytes(anchor[a:b])} | packed(ids=ids[rows[1:]], marks=marks[rows[1:]], at=at[:-1].astype(narrow))
 
 
 def repeated_anchors(table: pa.Table, parts: int) -> pa.Table | None:
@@ -124,15 +135,13 @@ def repeated_anchors(table: pa.Table, parts: int) -> pa.Table | None:
     ids, marks, found, loose = [], [], [], []
     out_ids, out_marks, out_anchors = [], [], []
     for row in table.to_pylist():
-        i, m, a = (np.frombuffer(row[k], t) for k, t in (("ids", np.int64), ("marks", np.int64), ("anchors", U64)))
+        i, m, a = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.int64), from_six_bytes(row["anchors"])
         if row["kind"] == 1:
             out_ids.append(i), out_marks.append(m), out_anchors.append(a)
             continue
-        at = np.frombuffer(row["at"], np.int32)
-        if (at < 0).any():  # its first document stands for none
-            i, m = i[1:], m[1:]
-            loose.append(a[at < 0])
-            a, at = a[at >= 0], at[at >= 0]
+        at = np.frombuffer(row["at"], np.uint16 if len(row["at"]) == 2 * len(a) else np.uint32).astype(np.int64)
+        loose.append(a[at == 0])
+        a, at = a[at > 0], at[at > 0] - 1
         ids.append(i[at]), marks.append(m[at]), found.append(a)
     if ids:
         ids, marks, found = np.concatenate(ids), np.concatenate(marks), np.concatenate(found)
@@ -146,8 +155,7 @@ def repeated_anchors(table: pa.Table, parts: int) -> pa.Table | None:
             np.minimum.at(low, group, ids)
             np.maximum.at(high, group, ids)
             near = (low != high)[group]
-        if loose:
-            near |= np.isin(found, np.concatenate(loose))
+        near |= np.isin(found, np.concatenate(loose))
         out_ids.append(ids[near]), out_marks.append(marks[near]), out_anchors.append(found[near])
     return by_part(parts, ids=out_ids, marks=out_marks, anchors=out_anchors)
 
@@ -200,8 +208,9 @@ def segment_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], wanted:
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             now = order[a:b].tolist()
-            t = np.array([sent[i][1] for i in now])
-            yield {"bucket": int(bucket[now[0]]), "kind": 0} | packed(ids=ids[t], marks=marks[t], starts=np.array([sent[i][2] for i in now], np.int64), ends=np.array([len(sent[i][3]) for i in now], np.int64), anchors=anchor[now]) | {"bytes": b"".join(sent[i][3] for i in now)}
+            rows, at = np.unique([sent[i][1] for i in now], return_inverse=True)
+            starts, sizes = np.array([sent[i][2] for i in now], np.int32), np.array([len(sent[i][3]) for i in now], np.int32)
+            yield {"bucket": int(bucket[now[0]]), "kind": 0, "anchors": six_bytes(anchor[now]), "bytes": b"".join(sent[i][3] for i in now)} | packed(ids=ids[rows], marks=marks[rows], at=at.astype(np.int32), starts=starts, ends=sizes)
 
 
 def refined(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -228,19 +237,20 @@ def removed_ranges(table: pa.Table, parts: int) -> pa.Table | None:
     number: dict[bytes, int] = {}
     ids, marks, starts, anchor_of, which = [], [], [], [], []
     for row in table.to_pylist():
-        i, m, s, e = (np.frombuffer(row[k], np.int64) for k in ("ids", "marks", "starts", "ends"))
+        i, m = (np.frombuffer(row[k], np.int64) for k in ("ids", "marks"))
+        s, e = (np.frombuffer(row[k], np.int64 if row["kind"] == 1 else np.int32).astype(np.int64) for k in ("starts", "ends"))
         if row["kind"] == 1:
             out.append((i, m, s, e))
             continue
-        at, data = 0, row["bytes"]
-        a = np.frombuffer(row["anchors"], U64).tolist()
+        offset, data, at = 0, row["bytes"], np.frombuffer(row["at"], np.int32)
+        a = from_six_bytes(row["anchors"]).tolist()
         for k, n in enumerate(e.tolist()):
-            x = number.setdefault(data[at : at + n], len(number))
+            x = number.setdefault(data[offset : offset + n], len(number))
             if x == len(anchor_of):
                 anchor_of.append(a[k])
             which.append(x)
-            at += n
-        ids.append(i), marks.append(m), starts.append(s)
+            offset += n
+        ids.append(i[at]), marks.append(m[at]), starts.append(s)
     if ids:
         out += bucket_ranges(list(number), np.array(anchor_of, U64), np.array(which), np.concatenate(ids), np.concatenate(marks), np.concatenate(starts))
     i, m, s, e = ([x[k] for x in out] for k in range(4))
@@ -343,7 +353,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     packs = {"ids": "binary", "marks": "binary"}
     shape = lambda more: ", ".join(f"{k} {v}" for k, v in ({"bucket": "bigint", "kind": "int"} | packs | more).items())
-    first_shape, second_shape = {"anchors": "binary", "at": "binary"}, {"starts": "binary", "ends": "binary", "anchors": "binary", "bytes": "binary"}
+    first_shape, second_shape = {"anchors": "binary", "at": "binary"}, {"starts": "binary", "ends": "binary", "anchors": "binary", "at": "binary", "bytes": "binary"}
     arrow = lambda more: pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in packs | more)])
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
