@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.fold import Point, ReorderBuffer
 from trackloom.schemas import ReorderConfig
+from trackloom.shipping import ship
 
 
 def first_arrivals(messages: DataFrame, *tie_break) -> DataFrame:
@@ -50,6 +51,7 @@ def offered(messages: DataFrame, cfg: ReorderConfig = ReorderConfig()) -> DataFr
     A device's messages are read in arrival order in bounded batches, so memory holds one buffer and not the device. ``released_at`` is
     the arrival that released it, null for those that only the final flush releases.
     """
+    ship(messages.sparkSession)
     parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

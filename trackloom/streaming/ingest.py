@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from trackloom.operators.fold import Point, ReorderBuffer, TripFold
 from trackloom.schemas import IDLE_SEGMENTS, TRIPS, StreamConfig
+from trackloom.shipping import ship
 from trackloom.sources.messages import message_stream, validated
 
 OUTPUT = "kind string, device_id string, seq bigint, late boolean, body string"
@@ -121,6 +122,7 @@ def use_state_store(spark: SparkSession) -> None:
 def tagged(messages: DataFrame, cfg: StreamConfig = StreamConfig(), timers: bool = True) -> DataFrame:
     """Points and closed trips, one kind of row, from a stream of valid messages with ``arrival``."""
     use_state_store(messages.sparkSession)
+    ship(messages.sparkSession)
     return messages.groupBy("device_id").transformWithStateInPandas(DeviceProcessor(cfg, timers), outputStructType=OUTPUT, outputMode="append", timeMode="ProcessingTime" if timers else "None")
 
 
