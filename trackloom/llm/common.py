@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.shipping import ship
+
 #: Texts handed to a Python function at once, in bytes; a longer single text goes alone.
 SLICE_BYTES = 2 << 20
 
@@ -47,6 +49,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with a null text as the empty one; other columns of the input are left behind."""
+    ship(docs.sparkSession)
     return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -108,6 +111,18 @@ def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", most: int =
     return df.join(F.broadcast(ids.select(*keys)) if few else ids.select(*keys).hint("merge"), keys, how)
 
 
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str, large: int = 10_000) -> DataFrame:
+    """Inner join with a table of unique keys that knows, in ``size``, how many rows of ``left`` each key has.
+
+    Keys with more than one in ``large`` of the rows, of which there are fewer than ``large``, are broadcast; the others are shuffled, and
+    none of them fills a task. ``right`` is read several times, so it should be a checkpoint.
+    """
+    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    few = F.broadcast(right.filter(F.col(size) > total / large))
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.filter(F.col(size) <= total / large), keys)
+    return left.join(few, keys).unionByName(rest).drop(size)
+
+
 def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
     """``function`` on the rows of each group, where groups are many and of bounded size.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, map_groups, map_texts, only_ids, remembered, texts_of
+from trackloom.llm.common import checkpoint, join_sized, map_groups, map_texts, only_ids, remembered, texts_of
 from trackloom.llm.graph import components
 
 SKETCH, RUN, CELL, WIDE = 40, 3, 1024, 128
@@ -179,8 +179,8 @@ def pivot_members(classes: DataFrame, percent: int) -> DataFrame:
 def first_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of pivots with their members, by cells of about ``CELL`` members."""
     near = members.filter("rep <> pivot").filter(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-    cells = near.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("cells"))
-    dealt = near.join(cells, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), "cells").alias("cell"), "rep")
+    cells = checkpoint(near.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / CELL).alias("cells")))
+    dealt = join_sized(near, cells, ["pivot"], "size").select("pivot", F.pmod(F.xxhash64("rep"), "cells").alias("cell"), "rep")
     centres = cells.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)).alias("cell"), F.col("pivot").alias("rep"))
     return map_groups(dealt.unionByName(centres).join(sets, "rep"), ["pivot", "cell"], lambda t: star_links(t, percent), "a bigint, b bigint")
 
@@ -193,15 +193,16 @@ def last_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: i
     and blocks of the others, which are in one component already.
     """
     with_parts = lambda df, c, to: df.join(parts.select(F.col("node").alias(c), F.col("component").alias("found")), c, "left").withColumn(to, F.coalesce("found", c)).drop("found")
-    placed = with_parts(with_parts(members.select("pivot", "rep", "n"), "rep", "comp"), "pivot", "centre")
-    apart = placed.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("pivot")
+    placed = with_parts(members.select("pivot", "rep", "n"), "rep", "comp")
+    apart = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    apart = checkpoint(with_parts(apart.select("pivot", "size"), "pivot", "centre"))
     bucket = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
-    both = placed.join(apart, "pivot").withColumn("loose", F.col("comp") != F.col("centre"))
+    both = join_sized(placed, apart, ["pivot"], "size").withColumn("loose", F.col("comp") != F.col("centre"))
     both = both.select("pivot", "rep", "comp", "loose", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("main")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("main")))).alias("in")).select("pivot", "in.bucket", "in.main", "rep", "comp", "loose")
     groups = both.groupBy("pivot", "bucket").agg(F.count_if("loose").alias("n_loose"), F.count_if(~F.col("loose")).alias("n_tied"), F.max("main").alias("any_main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     blocks = lambda n: F.ceil(F.col(n) / CELL)
-    groups = groups.filter("any_main and low <> high").select("pivot", "bucket", F.when(F.col("n_loose") + F.col("n_tied") <= CELL, 0).otherwise(blocks("n_loose")).alias("rows"), blocks("n_tied").alias("columns"))
-    dealt = both.join(groups, ["pivot", "bucket"])
+    groups = groups.filter("any_main and low <> high").select("pivot", "bucket", (F.col("n_loose") + F.col("n_tied")).alias("size"), F.when(F.col("n_loose") + F.col("n_tied") <= CELL, 0).otherwise(blocks("n_loose")).alias("rows"), blocks("n_tied").alias("columns"))
+    dealt = join_sized(both, checkpoint(groups), ["pivot", "bucket"], "size")
     zero, at = F.lit(0).cast("bigint"), F.pmod(F.xxhash64("rep"), F.greatest(F.when(F.col("loose"), F.col("rows")).otherwise(F.col("columns")), F.lit(1).cast("bigint")))
     one = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"))
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(zero, F.col(n) - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
