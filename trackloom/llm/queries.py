@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, quality, secret_scan, suffix_dedup, token_count, toxicity
+from trackloom.llm import decontaminate, exact_dedup, license_scan, near_dedup, oracles, packing, quality, secret_scan, suffix_dedup, token_count, toxicity
 from trackloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -83,10 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_count": op10_token_count,
 }
 
+#: The others can't be expressed: they train models, need a tokenizer, or match leftmost without overlaps.
 ORACLE_SQL: dict[str, str] = {
-    "op1_exact_dedup": r"""
-        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
-        SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
-               doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, text_sha256
-        FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op1_exact_dedup": oracles.EXACT,
+    "op4_suffix_dedup": oracles.SUBSTRINGS,
+    "op5_near_dedup": oracles.NEAR,
+    "op6_license_scan": oracles.licenses(),
+    "op8_decontamination": oracles.CONTAMINATION,
 }
