@@ -61,6 +61,27 @@ def test_repeated_substrings(spark, bucket_bytes):
     assert suffix_dedup.repeated_substrings(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("lot", [1, 300, 1 << 20])
+def test_lots_give_the_same_ranges(monkeypatch, lot):
+    r = np.random.default_rng(3)
+    bases = [r.integers(a, a + 2, 400).astype(np.uint8).tobytes() for a in (97, 99, 101)]  # nothing in common
+    segments = sorted({bases[a % 3][a : a + 50 + int(n)] for a, n in zip(r.integers(0, 300, 60).tolist(), r.integers(0, 40, 60))})
+    anchor = np.array([(s[0] - 97) // 2 for s in segments], np.uint64)
+    which = r.integers(0, len(segments), 200)
+    ids, zero = r.integers(0, 50, 200), np.zeros(200, np.int64)
+    monkeypatch.setattr(suffix_dedup, "LOT", lot)
+    got = set()
+    for i, _, a, b in suffix_dedup.bucket_ranges(segments, anchor, which, ids, np.arange(200), zero):
+        got |= {(int(m), p) for m, x, y in zip(_, a, b) for p in range(x, y)}
+    least = {}
+    for k, w in enumerate(which):
+        for p in range(len(segments[w]) - 49):
+            key = segments[w][p : p + 50]
+            least[key] = min(least.get(key, 99), ids[k])
+    want = {(k, q) for k, w in enumerate(which) for p in range(len(segments[w]) - 49) if least[segments[w][p : p + 50]] < ids[k] for q in range(p, p + 50)}
+    assert got == want and want
+
+
 def test_anchors_of_equal_strings_are_equal(monkeypatch):
     r = np.random.default_rng(1)
     raw = r.integers(97, 100, 5000).astype(np.uint8)

@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, map_groups, only_ids, partitions_for, slices, texts_of
+from trackloom.llm.common import checkpoint, join_sized, map_groups, only_ids, partitions_for, slices, texts_of
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text to a bucket.
 BUCKET_BYTES = 8 << 20
-#: Positions whose anchors are computed at once.
-AT_ONCE = 1 << 20
+#: Positions whose anchors are computed at once, and bytes of segments that are refined at once.
+AT_ONCE, LOT = 1 << 19, 1 << 20
 #: Modulus of the multiplicative hash that deals documents into parts, alike in numpy and in Spark.
 PRIME = 2_147_483_647
 KEYS = ["doc_id", "mark"]  # of a row: the id, and 60 bits of its text's digest
@@ -215,10 +215,10 @@ def segment_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], wanted:
 
 def refined(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Bucket numbers of the strings of ``LENGTH`` bytes that start at ``at``: equal for equal strings."""
-    wide = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(U64)
-    h2 = (wide[:-1] << U64(8)) | wide[1:]
-    h4 = (h2[:-2] << U64(16)) | h2[2:]
-    first = np.unique((h4[:-4] << U64(32)) | h4[4:], return_inverse=True)[1].astype(U64)[: len(raw)]  # by 8 bytes
+    h = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(U64)
+    h = (h[:-1] << U64(8)) | h[1:]
+    h = (h[:-2] << U64(16)) | h[2:]
+    first = np.unique((h[:-4] << U64(32)) | h[4:], return_inverse=True)[1].astype(U64)[: len(raw)]  # by 8 bytes
     pairs = (first[:-8] << U64(32)) | first[8:]
     _, second, times = np.unique(pairs, return_inverse=True, return_counts=True)  # by 16
     out = second[at].astype(np.int64)
@@ -257,33 +257,46 @@ def removed_ranges(table: pa.Table, parts: int) -> pa.Table | None:
     return by_part(parts, ids=i, marks=m, starts=s, ends=e)
 
 
+def parted(order: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Segments in lots of about ``LOT`` bytes; those of one anchor stay together, as only they can hold equal strings."""
+    at, total = 0, 0
+    for i, x in enumerate(order.tolist()):
+        if total >= LOT and group[x] != group[order[i - 1]]:
+            yield order[at:i]
+            at, total = i, 0
+        total += int(sizes[x])
+    if len(order) > at:
+        yield order[at:]
+
+
 def bucket_ranges(segments: list[bytes], anchor_of: np.ndarray, which: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     sizes = np.array([len(s) for s in segments], np.int64)
     least = np.full(len(segments), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
     _, group, times = np.unique(anchor_of, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(times[group] > 1)
-    low, high, windows = least.copy(), least.copy(), {}
-    if len(mixed):
-        begin = np.concatenate([[0], np.cumsum(sizes[mixed])])
-        count = sizes[mixed] - LENGTH + 1
-        of = np.repeat(np.arange(len(mixed)), count)
+    low, high, firsts = least.copy(), least.copy(), {}
+    for some in parted(mixed[np.argsort(group[mixed], kind="stable")], group, sizes):
+        begin = np.concatenate([[0], np.cumsum(sizes[some])])
+        count = sizes[some] - LENGTH + 1
+        of = np.repeat(np.arange(len(some)), count)
         edge = np.concatenate([[0], np.cumsum(count)])
         at = begin[of] + np.arange(edge[-1]) - edge[of]
-        bucket = refined(np.frombuffer(b"".join(segments[i] for i in mixed.tolist()), np.uint8), at)
+        bucket = refined(np.frombuffer(b"".join(segments[i] for i in some.tolist()), np.uint8), at)
         names, bucket = np.unique(bucket, return_inverse=True)
         first = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(first, bucket, least[mixed][of])
+        np.minimum.at(first, bucket, least[some][of])
         first = first[bucket]
-        low[mixed], high[mixed] = np.minimum.reduceat(first, edge[:-1]), np.maximum.reduceat(first, edge[:-1])
-        windows = {int(s): (int(a), int(b)) for s, a, b in zip(mixed, edge[:-1], edge[1:], strict=True)}
+        low[some], high[some] = np.minimum.reduceat(first, edge[:-1]), np.maximum.reduceat(first, edge[:-1])
+        for k, i in enumerate(some.tolist()):
+            if low[i] != high[i]:
+                firsts[i] = first[edge[k] : edge[k + 1]].copy()
     whole = high[which] < ids
     out = [(ids[whole], marks[whole], starts[whole], starts[whole] + sizes[which[whole]])]
     some = np.flatnonzero(~whole & (low[which] < ids))
     rows, begins, ends = [], [], []
     for k in some.tolist():
-        a, b = windows[int(which[k])]
-        hit = np.flatnonzero(first[a:b] < ids[k])
+        hit = np.flatnonzero(firsts[int(which[k])] < ids[k])
         cut = np.flatnonzero(np.diff(hit) > LENGTH)
         begins.append(hit[np.concatenate([[0], cut + 1])] + starts[k])
         ends.append(hit[np.concatenate([cut, [len(hit) - 1]])] + starts[k] + LENGTH)
@@ -345,8 +358,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = texts.withColumn("sha", F.sha2("text", 256)).withColumn("mark", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint"))
     rows = checkpoint(texts.select("doc_id", "mark", "sha", F.octet_length("text").cast("bigint").alias("n_bytes")))
     able = rows.filter((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull())
-    firsts = able.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("sha", "first")
-    copies = checkpoint(able.join(firsts, "sha").filter("doc_id > first").select("doc_id", "mark", "n_bytes").distinct())
+    firsts = checkpoint(able.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").select("sha", "first", "n"))
+    copies = checkpoint(join_sized(able, firsts, ["sha"], "n").filter("doc_id > first").select("doc_id", "mark", "n_bytes").distinct())
     total = able.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(partitions_for(docs), -(-total // bucket_bytes))
     own = only_ids(texts.filter((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", "mark", "text"), copies, "left_anti", keys=KEYS)
