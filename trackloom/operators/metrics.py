@@ -94,7 +94,7 @@ def alerts(series: DataFrame, condition: Column, for_s: int, *keys: str) -> Data
     return s.select("ts", *keys, (F.col("holds") & (F.col("ts") - F.col("since") >= for_s)).alias("firing"))
 
 
-#: The alerts: name, condition over a column of its series, seconds that it must hold, severity.
+#: The alerts, with name, condition over a column of its series, seconds that it must hold, severity.
 ALERTS = (
     ("FleetIngestLatencyP95High", "p95 > 2", 300, "warning"),
     ("FleetIngestConsumerLagging", "saturation > 0.8 OR paused > 0", 120, "warning"),
