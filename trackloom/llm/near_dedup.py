@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import checkpoint, join_sized, map_groups, map_texts, only_ids, remembered, texts_of
 from trackloom.llm.graph import components
 
-SKETCH, RUN, CELL, WIDE = 40, 3, 1024, 128
+SKETCH, RUN, CELL, WIDE = 40, 3, 512, 128
 #: Standard errors that an estimate may lie below the threshold before a pair is dropped.
 MARGIN = 4.5
 
