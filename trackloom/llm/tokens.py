@@ -39,9 +39,16 @@ def added_strings(path: str) -> list[str]:
         return [x["content"] for x in json.load(f).get("added_tokens") or []]
 
 
+def even(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if text and text.replace("\n", "").isprintable():  # the only printable white space is the space
+        return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n")
+    return not ODD.search(text)
+
+
 def cut(text: str) -> list[str]:
     """Pieces of the text: the first as it is, others without the space that leads them; one led by a line feed keeps that instead."""
-    if not ODD.search(text):
+    if even(text):
         return text.replace("\n", " \n").split(" ")
     parts = text.split(" ")
     out = parts[:1]
@@ -78,7 +85,8 @@ class PieceEncoder:
     def learn(self, texts: list[str]) -> list:
         """The value of each text, none of which may hold an added token's string."""
         inner, total = self.inner, self.total
-        split = [PRE_TOKEN.findall(t) if PLAIN.fullmatch(t) else (t,) for t in texts]
+        word = lambda t: t[1:].isalpha() and t[0] == " " and t.isascii()  # noqa: E731  one pre-token
+        split = [(t,) if word(t) else PRE_TOKEN.findall(t) if PLAIN.fullmatch(t) else (t,) for t in texts]
         alone = [t for t, x in zip(texts, split, strict=True) if len(x) == 1]
         unknown = list(set(chain.from_iterable(x for x in split if len(x) > 1)).difference(inner))
         values = self.encode(unknown + alone)
