@@ -190,3 +190,13 @@ def test_merge_keeps_old_values(spark):
     new = spark.createDataFrame([("a", None, None, None), ("c", "parked", 1, None)], schema)
     got = {r.device_id: tuple(r)[1:] for r in serving.merged_devices(old, new).collect()}
     assert got["b"] == ("moving", 6, "u") and got["c"] == ("parked", 1, None) and got["a"][1] == 5
+
+
+def test_queries_compare_whole_trips(spark):
+    """Columns that only an interior point changes are compared, and the verdict counts trips and differences."""
+    from trackloom.plans import QUERIES
+
+    lines = [r.difference for r in QUERIES["trip_column_differences"](spark, "/root/testdata/sf0.001").collect()]
+    assert {"point_count", "distance_m"} <= {x.rsplit(" ", 1)[1] for x in lines}
+    got = QUERIES["stored_verdict"](spark, "/root/testdata/sf0.001").first()
+    assert got.duplicate_trips > 0 and got.differences >= len(lines) > 0 and not got.ok

@@ -172,6 +172,34 @@ def idle_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy(F.when(d.endswith(" unexpected"), "unexpected").when(d.endswith("got none"), "missing").otherwise("different").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Columns of a trip beside its key, and those of them that agree when nine significant digits do.
+COMPARED = ("end_seq", "start_ms", "end_ms", "start_lat", "start_lon", "end_lat", "end_lon", "distance_m", "duration_s", "idle_s", "point_count", "max_speed_kph", "end_reason")
+LINES = f"""pairs AS (SELECT coalesce(a.device_id, c.device_id) || '#' || coalesce(a.start_seq, c.start_seq) AS k, a.device_id IS NULL AS ea, c.device_id IS NULL AS ec, {', '.join(f'a.{c} AS a_{c}, c.{c} AS c_{c}' for c in COMPARED)} FROM closed0 a FULL JOIN closed c ON c.device_id = a.device_id AND c.start_seq = a.start_seq),
+    lines AS (SELECT 'trip ' || k || ' missing' AS difference FROM pairs WHERE ec UNION ALL SELECT 'trip ' || k || ' unexpected' FROM pairs WHERE ea
+    {' '.join(f"UNION ALL SELECT 'trip ' || k || ' {c}' FROM pairs WHERE NOT ea AND NOT ec AND " + (f"abs(a_{c} - c_{c}) > 1e-9 * greatest(1e0, abs(a_{c}), abs(c_{c}))" if c in invariants.NUMBERS else f"a_{c} IS DISTINCT FROM c_{c}") for c in COMPARED)})"""
+
+
+@query("trip_column_differences", f"{BOTH}, {LINES} SELECT difference FROM lines")
+def trip_column_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of both sides; which differ, without their values, as engines write numbers differently."""
+    return invariants.trip_differences(*two_sides(spark, sf_dir)).select(F.substring_index("difference", ": expected ", 1).alias("difference"))
+
+
+#: A store that holds every fifth trip and every third idle segment twice, by the number that they start with.
+@query("stored_verdict", f"""{BOTH}, {RUN}, {LINES}, d AS (SELECT DISTINCT device_id, seq FROM sent), n AS (SELECT device_id, seq, count(*) AS n FROM run GROUP BY ALL),
+    idle0 AS (SELECT dev || '#' || s.seq AS k, s.a || '|' || s.b AS v FROM fold0 f JOIN closed0 c ON c.device_id = f.dev AND c.start_seq = s.trip WHERE s IS NOT NULL), idle AS (SELECT dev || '#' || s.seq AS k, s.a || '|' || s.b AS v, s.seq AS seq FROM fold f JOIN closed c ON c.device_id = f.dev AND c.start_seq = s.trip WHERE s IS NOT NULL)
+    SELECT *, lost + duplicates + duplicate_trips + phantom + differences = 0 AS ok FROM (SELECT (SELECT count(*) FROM d) AS expected, (SELECT count(*) FROM run) AS stored, (SELECT count(*) FROM d ANTI JOIN run USING (device_id, seq)) AS lost,
+    (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM n WHERE n > 1) AS duplicates, (SELECT count(*) FROM closed WHERE start_seq % 5 = 2) + (SELECT count(*) FROM idle WHERE seq % 3 = 1) AS duplicate_trips, (SELECT count(*) FROM n ANTI JOIN d USING (device_id, seq)) AS phantom,
+    (SELECT count(*) FROM lines) + (SELECT count(*) FROM idle0 a FULL JOIN idle b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v) AS differences)""")
+def stored_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict over points, trips and idle segments, with the differences of trips and idle segments from those of the clean telemetry."""
+    truth, stored = two_sides(spark, sf_dir)
+    clean, idle = (trips.idle_segments(p, SCALED) for p in (telemetry(spark, sf_dir), applied_points(spark, sf_dir)))
+    differences = invariants.trip_differences(truth, stored).unionAll(invariants.idle_differences(clean, idle))
+    twice = lambda df, test: df.unionAll(df.filter(test))
+    return invariants.verdict(deliveries(spark, sf_dir), faulty_run(spark, sf_dir), twice(stored, "start_seq % 5 = 2"), twice(idle, "start_seq % 3 = 1"), differences)
+
+
 @query("key_differences", f"WITH {TELE}, {DELIVERED}, {RUN} SELECT DISTINCT 'point ' || device_id || '#' || seq || ' missing' AS difference FROM sent ANTI JOIN run USING (device_id, seq) UNION ALL SELECT DISTINCT 'point ' || device_id || '#' || seq || ' unexpected' FROM run ANTI JOIN sent USING (device_id, seq)")
 def key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return invariants.key_differences("point", deliveries(spark, sf_dir), faulty_run(spark, sf_dir))
