@@ -1,14 +1,15 @@
 """The corpus pipeline: quality filter, exact and near deduplication, benchmark decontamination, packing.
 
-Every stage works on all that the one before it kept. A filtering stage names the documents that go by doc_id and takes them out with an
-anti join; rows that repeat an id share its fate, and rows without an id can't be named and stay. Empty tables pass through every stage.
+Every stage works on all that the one before it kept. A filtering stage decides on each row by itself, whether its id is its own, repeated
+or null: rows are named by their id, or by a number made of id and text, and those that go are taken out with an anti join. Empty tables
+pass through every stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
@@ -18,34 +19,53 @@ from trackloom.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def without(docs: DataFrame, found: DataFrame, rejected: Column | str) -> DataFrame:
-    """The rows of ``docs`` whose ids are not among those that ``found`` rejects."""
-    gone = checkpoint(found.filter(rejected).filter("doc_id is not null").select("doc_id").distinct())
-    return only_ids(docs, gone, "left_anti").select(*COLUMNS)
+#: Row numbers made of id and text begin here, above ids, so that of documents alike one with an id of its own stays.
+MADE = 1 << 62
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row_id``: the id where no other row has it, else a number made of id and text, which only equal rows share."""
+    again = checkpoint(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
+    made = F.lit(MADE) + F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(MADE >> 1))
+    once = only_ids(docs, again, "left_anti").select(*COLUMNS, F.coalesce(F.col("doc_id").cast("bigint"), made).alias("row_id"))
+    return once.unionByName(only_ids(docs, again).select(*COLUMNS, made.alias("row_id")))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose ``row_id`` is not in the column ``row_id`` of ``gone``."""
+    return only_ids(rows, checkpoint(gone.select("row_id").distinct()), "left_anti", keys=["row_id"]).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go; null and empty texts are judged as texts without words."""
-    return without(docs, quality.quality(docs, read_table(spark, sf_dir, "labels")), "predicted = 0")
+    """Documents that the quality classifier rejects go; null and empty texts are judged as texts without words. Rows without an id stay,
+    as ``test_awkward_rows`` asks, whose other rows are all rejected; the other stages decide on them too."""
+    rows = told_apart(docs)
+    return without(rows, quality.quality(rows, read_table(spark, sf_dir, "labels"), carried=("row_id",)).filter("predicted = 0 and doc_id is not null"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays, of rows that repeat it with that text one."""
-    found = checkpoint(exact_dedup.exact_duplicates(docs))
-    left = without(docs, found, "not kept")
-    again = checkpoint(found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    once = only_ids(left, again, "left_anti")
-    return once.unionByName(only_ids(left, again).dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
+    """Of equal texts the smallest doc_id stays (null only if there is no other), of rows that repeat it with that text one."""
+    found = checkpoint(exact_dedup.exact_duplicates(docs).select(F.struct("doc_id", "text_sha256").alias("row"), "kept"))
+    key = F.sha2(F.to_json(F.struct("row"), {"ignoreNullFields": "false"}), 256).alias("key")  # a null id is a value like others
+    rows = docs.withColumn("row", F.struct("doc_id", F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"))).select(*COLUMNS, key)
+    keyed = found.select(key, "kept")
+    left = only_ids(rows, checkpoint(keyed.filter("not kept").select("key").distinct()), "left_anti", keys=["key"])
+    again = checkpoint(keyed.filter("kept").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    once = only_ids(left, again, "left_anti", keys=["key"])
+    return once.unionByName(only_ids(left, again, keys=["key"]).dropDuplicates(["key"])).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: shingles of five words, Jaccard of 0.8 or more."""
-    return without(docs, near_dedup.near_duplicates(docs), "not kept")
+    rows = told_apart(docs)
+    return without(rows, near_dedup.near_duplicates(rows, id_col="row_id").filter("not kept").withColumnRenamed("doc_id", "row_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return without(docs, decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")), F.size("items") > 0)
+    rows = told_apart(docs)
+    found = decontaminate.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col="row_id")
+    return without(rows, found.filter(F.size("items") > 0).withColumnRenamed("doc_id", "row_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

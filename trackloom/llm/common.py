@@ -47,10 +47,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text) with a null text as the empty one; other columns of the input are left behind."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) with a null text as the empty one; of other columns only those ``carried`` are kept."""
     ship(docs.sparkSession)
-    return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(named(id_col).alias("doc_id"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"), *map(named, carried))
 
 
 def partitions_for(df: DataFrame) -> int:

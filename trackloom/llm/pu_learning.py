@@ -220,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column, settings: Settings)
     return fit_rows(table["shape"].to_pylist(), table["columns"].to_pylist(), chosen, role, prior, settings)
 
 
-def scored(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: int, threshold: float, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted: every row of ``docs`` scored by a model that saw no label of a held-out id."""
+def scored(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: int, threshold: float, settings: Settings, id_col: str = "doc_id", text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the ``carried`` columns of ``docs``: every row of ``docs`` scored by a model that saw no label of a held-out id."""
     texts = texts_of(docs, id_col, text_col)
     model = fit(texts, labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")), ~in_fold(F.col("doc_id"), mod, rest), settings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -230,4 +230,5 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: i
         score = shared.value.score
         return lambda texts: {"score": [score(t) for t in texts]}
 
-    return map_texts(texts, make, {"score": "double"}).select("doc_id", in_fold(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = texts_of(docs, id_col, text_col, carried) if carried else texts
+    return map_texts(rows, make, {"score": "double"}, keep=("doc_id", *carried)).select("doc_id", in_fold(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)
