@@ -200,3 +200,12 @@ def test_queries_compare_whole_trips(spark):
     assert {"point_count", "distance_m"} <= {x.rsplit(" ", 1)[1] for x in lines}
     got = QUERIES["stored_verdict"](spark, "/root/testdata/sf0.001").first()
     assert got.duplicate_trips > 0 and got.differences >= len(lines) > 0 and not got.ok
+
+
+def test_applied_track_has_no_limit(spark, monkeypatch):
+    from trackloom.plans import serving_queries
+
+    points = spark.range(6001).selectExpr(f"'{serving_queries.DEVICE}' as device_id", "id as seq", "id as ts_ms", "id % 1000 = 1 as late")
+    monkeypatch.setattr(serving_queries, "stored_points", lambda *_: points)
+    got = [r.seq for r in serving_queries.applied_track(spark, "").collect()]
+    assert got == [i for i in range(6001) if i % 1000 != 1]

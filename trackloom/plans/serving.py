@@ -168,6 +168,11 @@ def track(points: DataFrame, device_id: str, from_seq=None, to_seq=None, from_ms
     return p.orderBy("seq").limit(checked_limit(limit, 5000, 20_000))
 
 
+def applied(points: DataFrame, device_id: str) -> DataFrame:
+    """All points of a device that were not late, by number."""
+    return points.filter(F.col("device_id") == checked_device(device_id)).filter("not late").orderBy("seq")
+
+
 def trip_tracks(points: DataFrame, t: DataFrame, include_late: bool | str | None = None) -> DataFrame:
     """Each trip's points: equality on the device, range on the number."""
     p = points if checked_flag(include_late) else points.filter("not late")

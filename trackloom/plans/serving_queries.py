@@ -84,7 +84,8 @@ def device_track(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("applied_track", f"{VIEWS} SELECT seq, ts_ms FROM good WHERE device_id = '{DEVICE}'")
 def applied_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.track(stored_points(spark, sf_dir), DEVICE, include_late="false").select("seq", "ts_ms")
+    """All applied points of the device; ``serving.track`` is an interface and limits its rows."""
+    return S.applied(stored_points(spark, sf_dir), DEVICE).select("seq", "ts_ms")
 
 
 @query("trip_tracks", f"{FOLDED} SELECT c.device_id, c.start_seq, m.seq, m.late FROM closed c JOIN marked m ON m.device_id = c.device_id AND m.seq BETWEEN c.start_seq AND c.end_seq")
