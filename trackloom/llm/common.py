@@ -152,3 +152,33 @@ def map_groups(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa
         return [] if out is None else out.to_batches()
 
     return df.repartition(partitions_for(df), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def fold_groups(df: DataFrame, keys: list[str], make: Callable[[], object], schema: str) -> DataFrame:
+    """Streams over the rows of each group, which may be many: ``make()`` gives an object whose ``add(table)`` takes some of a group's rows
+    and whose ``end()`` closes the group; both give tables. One shuffle and sort by the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, last = None, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            rows = list(zip(*(table[k].to_pylist() for k in keys), strict=True))
+            at = 0
+            for i in range(1, len(rows) + 1):
+                if i < len(rows) and rows[i] == rows[at]:
+                    continue
+                if fold is None or rows[at] != last:
+                    if fold is not None:
+                        yield from sent(fold.end())
+                    fold, last = make(), rows[at]
+                yield from sent(fold.add(table.slice(at, i - at)))
+                at = i
+            pa.default_memory_pool().release_unused()
+        if fold is not None:
+            yield from sent(fold.end())
+
+    def sent(tables: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            yield from (b for b in t.to_batches() if b.num_rows)
+
+    return df.repartition(partitions_for(df), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -2,18 +2,23 @@
 
 Bytes covered by a string of ``LENGTH`` bytes that also starts in a document of smaller id are removed.
 
-1. Whole copies are found by digest and leave at once; their first document stands for them.
+1. Texts are dealt into parts of some megabytes by a hash of the text, so most copies of one text meet in one part; copies of a text
+   that would fill more than a part are spread over several.
 2. Every string of ``LENGTH`` bytes has an anchor: the least hash of its grams of ``GRAM`` bytes. Equal strings have equal anchors, and
-   neighbouring strings mostly share one. Anchors are dealt by hash into buckets; those of one document only can't be in a repeat.
-3. Texts, dealt by document, meet their repeated anchors again. Each run of strings with one such anchor becomes a segment, which is
-   dealt by its anchor, so all equal strings meet in one bucket.
-4. In a bucket equal segments are one. Where an anchor has different ones, their strings are put into buckets by their first 8 bytes,
-   and these are refined by the bucket numbers at later offsets: 8 and 8 give 16, 16 and 16 give 32, 32 and 32 overlapping give 50.
-   Buckets of one string are left out of further refinement. Each final bucket's smallest document keeps its string.
-5. The removed ranges meet their texts, which are read from the shuffle of step 3.
-
-Before each shuffle a batch sends one entry for what several of its documents hold, so a string that a third of all documents hold
-costs one entry a batch. The number of buckets follows the size of the input.
+   neighbouring strings mostly share one. A part sends each of its anchors once, with whether several of its documents hold it, to a
+   bucket; the bucket tells the parts which anchors more than one document holds, and which of those only they do.
+3. Each run of strings with such an anchor is a segment. Pieces of bytes are put into buckets and these are refined by the q-gram at
+   later offsets until a bucket holds equal pieces; of a bucket the smallest document stays and the others' strings go. A part refines
+   its own segments first and sends one of each bucket on, so a passage that a third of all documents hold costs one entry a part.
+4. Where an anchor has different segments, their strings are refined: a bucket number is the place of its first string in the order so
+   far, buckets of 8 bytes are refined by the numbers 8 bytes later, those by the refined numbers 16 bytes later, and so on up to
+   ``LENGTH``; numbers once refined serve the next step, and buckets of one string are left as they are. Each final bucket's smallest
+   document keeps its string.
+5. The removed ranges meet their texts, which are read from the shuffle of step 1.
+
+The first filter is a prefilter alone: what is removed is decided by refined buckets, in a part or behind the second shuffle. Buckets
+are worked off as their rows stream in, so copies beyond the smallest are forgotten at once, and the parts' and buckets' numbers
+follow the size of the input.
 """
 
 from __future__ import annotations
@@ -23,19 +28,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, join_sized, map_groups, only_ids, partitions_for, slices, texts_of
+from trackloom.llm.common import checkpoint, fold_groups, partitions_for, texts_of
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text to a bucket.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text to a part and to a bucket, and the greatest number of texts whose copies are spread by name.
+PART_BYTES, BUCKET_BYTES, HEAVY = 4 << 20, 8 << 20, 500_000
 #: Positions whose anchors are computed at once, and bytes of segments that are refined at once.
-AT_ONCE, LOT = 1 << 19, 1 << 20
-#: Modulus of the multiplicative hash that deals documents into parts, alike in numpy and in Spark.
-PRIME = 2_147_483_647
-KEYS = ["doc_id", "mark"]  # of a row: the id, and 60 bits of its text's digest
+AT_ONCE, LOT = 1 << 18, 1 << 20
+#: Strings in a segment; longer runs of one anchor are cut.
+RUN = 256
+#: Entries that are held before they are sent.
+HELD = 1 << 19
 U64 = np.uint64
 
 
@@ -64,24 +70,109 @@ def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return ((anchor * U64(0x9FB21C651E98DF25)) >> U64(20)) % U64(buckets)
 
 
-def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring strings with one anchor: text, first and last start in it, 48 bits of the anchor; and where each text begins."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(texts) else np.empty(0, np.int64)
-    a = anchors(np.frombuffer(b"".join(texts), np.uint8))
-    inside = np.zeros(len(a) + 2, bool)  # one before and one after
-    opens = np.zeros(len(a) + 2, bool)
-    for s, n in zip(begins.tolist(), sizes.tolist(), strict=True):
-        if n >= LENGTH:
-            inside[s + 1 : s + n - LENGTH + 2] = True
-            opens[s + 1] = True
-    change = np.ones(len(a) + 1, bool)
-    change[1:-1] = a[1:] != a[:-1]
-    first = np.flatnonzero(inside[1:-1] & (opens[1:-1] | ~inside[:-2] | change[:-1]))
-    last = np.flatnonzero(inside[1:-1] & (opens[2:] | ~inside[2:] | change[1:]))
-    text = np.searchsorted(begins, first, "right") - 1
-    # texts of no bytes begin where the next one does; searchsorted then gives the last of them, which is the one with bytes
-    return text, first - begins[text], last - begins[text], (a[first] * U64(0xD1342543DE82EF95)) >> U64(16), begins
+class Texts:
+    """The texts of a table as one array of bytes, with where each begins."""
+
+    def __init__(self, table: pa.Table):
+        column = table["text"].combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        begins = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        data = column.buffers()[2] if len(column) else None
+        self.raw = np.frombuffer(data, np.uint8)[: begins[-1]] if data is not None and len(data) else np.empty(0, np.uint8)
+        self.begins, self.ids, self.marks = begins, table["doc_id"].to_numpy(), table["mark"].to_numpy()
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def slices(self) -> Iterator[tuple[int, int, int, int]]:
+        """Texts from and to, and places from and to: about ``AT_ONCE`` bytes of whole texts, or as many strings of one long text."""
+        at = 0
+        while at < len(self):
+            upto = max(at + 1, int(np.searchsorted(self.begins, self.begins[at] + AT_ONCE, "right")) - 1)
+            low, high = int(self.begins[at]), int(self.begins[upto])
+            for a in range(low, max(high, low + 1), AT_ONCE):
+                yield at, upto, a, min(high, a + AT_ONCE + LENGTH - 1) if high - low > AT_ONCE else high
+            at = upto
+
+
+def runs_of(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of neighbouring strings with one anchor, some texts at a time: text, place of the first string in ``raw``, number of strings,
+    48 bits of the anchor."""
+    for i, j, low, high in texts.slices():
+        a = anchors(texts.raw[low:high])
+        if not len(a):
+            continue
+        begins, ends = np.maximum(texts.begins[i:j], low) - low, np.minimum(texts.begins[i + 1 : j + 1], high) - low
+        able = ends - begins >= LENGTH
+        inside = np.zeros(len(a), bool)
+        for s, e in zip(begins[able].tolist(), ends[able].tolist(), strict=True):
+            inside[s : e - LENGTH + 1] = True
+        opens = np.ones(len(a), bool)
+        opens[1:] = (a[1:] != a[:-1]) | ~inside[:-1]
+        opens[begins[able]] = True
+        first = np.flatnonzero(opens & inside)
+        text = np.searchsorted(begins, first, "right") - 1  # empty texts begin where the next one does; this gives the last of them
+        last = np.minimum(np.append(first[1:], len(a)), ends[text] - LENGTH + 1)  # to the next run, or to the text's last string
+        yield text + i, first + low, last - first, (a[first] * U64(0xD1342543DE82EF95)) >> U64(16)
+
+
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return ((anchor * U64(0x9FB21C651E98DF25)) >> U64(20)) % U64(buckets)
+
+
+class Texts:
+    """The texts of a table as one array of bytes, with where each begins."""
+
+    def __init__(self, table: pa.Table):
+        column = table["text"].combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+        wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+        begins = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        data = column.buffers()[2] if len(column) else None
+        self.raw = np.frombuffer(data, np.uint8)[: begins[-1]] if data is not None and len(data) else np.empty(0, np.uint8)
+        self.begins, self.ids, self.marks = begins, table["doc_id"].to_numpy(), table["mark"].to_numpy()
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def slices(self) -> Iterator[tuple[int, int]]:
+        """Texts of about ``AT_ONCE`` bytes together, or one."""
+        at = 0
+        while at < len(self):
+            upto = max(at + 1, int(np.searchsorted(self.begins, self.begins[at] + AT_ONCE, "right")) - 1)
+            yield at, upto
+            at = upto
+
+
+def runs_of(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of neighbouring strings with one anchor, some texts at a time: text, place of the first string in ``raw``, number of strings,
+    48 bits of the anchor."""
+    for i, j in texts.slices():
+        low, high = int(texts.begins[i]), int(texts.begins[j])
+        a = anchors(texts.raw[low:high])
+        if not len(a):
+            continue
+        begins, sizes = texts.begins[i:j] - low, np.diff(texts.begins[i : j + 1])
+        inside = np.zeros(len(a), bool)
+        for s, n in zip(begins.tolist(), sizes.tolist(), strict=True):
+            if n >= LENGTH:
+                inside[s : s + n - LENGTH + 1] = True
+        opens = np.ones(len(a), bool)
+        opens[1:] = (a[1:] != a[:-1]) | ~inside[:-1]
+        opens[begins[(sizes >= LENGTH)]] = True
+        opens &= inside
+        first = np.flatnonzero(opens)
+        # a run ends where the next begins or where its text has no further string
+        text = np.searchsorted(begins, first, "right") - 1  # empty texts begin where the next one does; this gives the last of them
+        last = np.minimum(np.append(first[1:], len(a)), begins[text] + sizes[text] - LENGTH + 1)
+        yield text + i, first + low, last - first, (a[first] * U64(0xD1342543DE82EF95)) >> U64(16)
+
+
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    return ((anchor * U64(0x9FB21C651E98DF25)) >> U64(20)) % U64(buckets)
 
 
 def six_bytes(values: np.ndarray) -> bytes:
@@ -99,162 +190,189 @@ def packed(**columns) -> dict[str, bytes]:
     return {k: np.ascontiguousarray(v).tobytes() for k, v in columns.items()}
 
 
-def anchor_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], buckets: int) -> Iterator[dict]:
-    """What a batch sends: to each bucket the anchors of one document each (kind 0, with the document) and those of several (kind 0,
-    with none); and for the latter's documents that these are repeated (kind 1)."""
-    text, _, _, anchor, _ = runs_of(texts)
-    order = np.lexsort((text, anchor))
-    text, anchor = text[order], anchor[order]
-    new = np.ones(len(anchor), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (ids[text[1:]] != ids[text[:-1]])
-    same_row = np.zeros(len(anchor), bool)
-    same_row[1:] = (anchor[1:] == anchor[:-1]) & (text[1:] == text[:-1])
-    text, anchor, new = text[~same_row], anchor[~same_row], new[~same_row]
-    if not len(anchor):
-        return
+def cuts_of(sorted_keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal keys."""
+    if not len(sorted_keys):
+        return []
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(sorted_keys)) + 1, [len(sorted_keys)]]).tolist()
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+ANCHORS = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("anchors", pa.binary()), ("several", pa.binary())])
+REPEATED = pa.schema([("part", pa.int64()), ("anchors", pa.binary()), ("own", pa.binary())])
+SEGMENTS = pa.schema([("bucket", pa.int64()), ("part", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in ("ids", "marks", "at", "starts", "ends", "anchors", "bytes"))])
+RANGES = pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in ("ids", "marks", "starts", "ends"))])
+KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_sha256 string"
+
+
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({pa.int64(): 'bigint', pa.int32(): 'int'}).get(f.type, 'binary')}" for f in schema)
+
+
+def anchors_of_part(table: pa.Table, buckets: int) -> pa.Table:
+    """Each anchor of a part once, to its bucket: those of one document, and those of several."""
+    texts, part = Texts(table), table["part"][0].as_py()
+    found, held = [], []
+    for text, _, _, anchor in runs_of(texts):
+        found.append(anchor), held.append(texts.ids[text])
+    anchor, ids = (np.concatenate(found), np.concatenate(held)) if found else (np.empty(0, U64), np.empty(0, np.int64))
+    order = np.argsort(anchor, kind="stable")
+    anchor, ids = anchor[order], ids[order]
     head = np.ones(len(anchor), bool)
     head[1:] = anchor[1:] != anchor[:-1]
-    group = np.cumsum(head) - 1
-    several = (np.bincount(group, weights=new) > 1)[group]
-    yield {"bucket": int(bucket_of(anchor[:1], buckets)[0]), "kind": 1, "anchors": six_bytes(anchor[several])} | packed(ids=ids[text[several]], marks=marks[text[several]])
-    send = head & several | ~several
-    whose = np.where(several, -1, text)[send]
-    anchor = anchor[send]
+    at = np.flatnonzero(head)
+    several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at) if len(at) else np.empty(0, bool)
+    anchor = anchor[at]
     bucket = bucket_of(anchor, buckets)
-    order = np.argsort(bucket, kind="stable")
-    bucket, anchor, whose = bucket[order], anchor[order], whose[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    narrow = np.uint16 if len(texts) < 65_535 else np.uint32
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        rows, at = np.unique(np.append(whose[a:b], -1), return_inverse=True)  # number 0 is no document
-        yield {"bucket": int(bucket[a]), "kind": 0, "anchors": six_bytes(anchor[a:b])} | packed(ids=ids[rows[1:]], marks=marks[rows[1:]], at=at[:-1].astype(narrow))
-
-
-def repeated_anchors(table: pa.Table, parts: int) -> pa.Table | None:
-    """The anchors of a bucket that more than one document has, to each document's part."""
-    ids, marks, found, loose = [], [], [], []
-    out_ids, out_marks, out_anchors = [], [], []
-    for row in table.to_pylist():
-        i, m, a = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.int64), from_six_bytes(row["anchors"])
-        if row["kind"] == 1:
-            out_ids.append(i), out_marks.append(m), out_anchors.append(a)
-            continue
-        at = np.frombuffer(row["at"], np.uint16 if len(row["at"]) == 2 * len(a) else np.uint32).astype(np.int64)
-        loose.append(a[at == 0])
-        a, at = a[at > 0], at[at > 0] - 1
-        ids.append(i[at]), marks.append(m[at]), found.append(a)
-    if ids:
-        ids, marks, found = np.concatenate(ids), np.concatenate(marks), np.concatenate(found)
-        order = np.lexsort((ids, found))
-        ids, marks, found = ids[order], marks[order], found[order]
-        near = np.zeros(len(found), bool)
-        if len(found):
-            equal = found[1:] == found[:-1]
-            group = np.concatenate([[0], np.cumsum(~equal)])
-            low, high = np.full(group[-1] + 1, np.iinfo(np.int64).max), np.full(group[-1] + 1, np.iinfo(np.int64).min)
-            np.minimum.at(low, group, ids)
-            np.maximum.at(high, group, ids)
-            near = (low != high)[group]
-        near |= np.isin(found, np.concatenate(loose))
-        out_ids.append(ids[near]), out_marks.append(marks[near]), out_anchors.append(found[near])
-    return by_part(parts, ids=out_ids, marks=out_marks, anchors=out_anchors)
-
-
-def by_part(parts: int, **lists) -> pa.Table | None:
-    """A row for each part of the documents, with what the lists hold for it; the part is that of ``part_of``."""
-    whole = {k: np.concatenate(v) if v else np.empty(0, np.int64) for k, v in lists.items()}
-    if not len(whole["ids"]):
-        return None
-    part = part_of(whole["ids"], parts)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-    rows = [{"part": int(part[a])} | packed(**{k: v[order[a:b]] for k, v in whole.items()}) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return pa.Table.from_pylist(rows, pa.schema([("part", pa.int64()), *((k, pa.binary()) for k in whole)]))
-
-
-def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
-    return np.mod(ids.astype(np.int64), PRIME) * 48271 % PRIME % parts
-
-
-def segment_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], wanted: dict[tuple[int, int], np.ndarray], buckets: int) -> Iterator[dict]:
-    """What a part sends: to each bucket the different segments of its documents, each for the smallest of them (kind 0); and the ranges
-    that its own smaller documents remove (kind 1)."""
-    order = [i for i in sorted(range(len(texts)), key=lambda i: (int(ids[i]), int(marks[i]))) if (int(ids[i]), int(marks[i])) in wanted]
-    if not order:
+    order = np.lexsort((anchor, bucket))
+    bucket, anchor, several = bucket[order], anchor[order], several[order]
+    rows = [{"bucket": int(bucket[a]), "part": part, "anchors": six_bytes(anchor[a:b][~several[a:b]]), "several": six_bytes(anchor[a:b][several[a:b]])} for a, b in cuts_of(bucket)]
+    return pa.Table.from_pylist(rows, ANCHORS)
+
+
+class AnchorFold:
+    """Streams over the anchors that parts send to a bucket. Holds each anchor once: with its part until another part sends it, too."""
+
+    def __init__(self):
+        none = np.empty(0, U64)
+        self.once, self.part, self.several, self.twice = none, np.empty(0, np.int64), np.empty(0, bool), none
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, table: pa.Table) -> Iterator[pa.Table]:
+        for part, alone, several in zip(*(table[c].to_pylist() for c in ("part", "anchors", "several")), strict=True):
+            a, s = from_six_bytes(alone), from_six_bytes(several)
+            self.waiting.append((np.concatenate([a, s]), np.full(len(a) + len(s), part), np.arange(len(a) + len(s)) >= len(a)))
+            self.size += len(a) + len(s)
+            if self.size >= HELD:
+                yield from self.merged()
+
+    def merged(self) -> Iterator[pa.Table]:
+        """What is known now to be repeated, to the parts that hold it."""
+        anchor, part, several = (np.concatenate(x) for x in zip((self.once, self.part, self.several), *self.waiting, strict=True))
+        self.waiting, self.size = [], 0
+        known = among(anchor, self.twice)
+        out = [(part[known], anchor[known])]
+        order = np.argsort(anchor[~known], kind="stable")
+        anchor, part, several = anchor[~known][order], part[~known][order], several[~known][order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        at = np.flatnonzero(new)
+        again = np.diff(np.append(at, len(anchor))) > 1  # a part sends an anchor once, so this is several parts
+        each = np.repeat(again, np.diff(np.append(at, len(anchor))))
+        out.append((part[each], anchor[each]))
+        self.twice = np.sort(np.concatenate([self.twice, anchor[at][again]]), kind="stable")
+        self.once, self.part, self.several = anchor[~each], part[~each], several[~each]
+        yield self.rows(np.concatenate([p for p, _ in out]), np.concatenate([a for _, a in out]), "anchors")
+
+    def rows(self, part: np.ndarray, anchor: np.ndarray, name: str) -> pa.Table:
+        order = np.argsort(part, kind="stable")
+        part, anchor = part[order], anchor[order]
+        return pa.Table.from_pylist([{"part": int(part[a]), "anchors": b"", "own": b"", name: six_bytes(anchor[a:b])} for a, b in cuts_of(part)], REPEATED)
+
+    def end(self) -> Iterator[pa.Table]:
+        yield from self.merged()
+        yield self.rows(self.part[self.several], self.once[self.several], "own")
+
+
+def grams(data: bytes) -> np.ndarray:
+    """The 8 bytes from each place as a number, without a copy."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
+def split(number: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of members by bucket number and key; in that order the numbers of the buckets refined by ``key``, and how many members
+    each has. A bucket's number is the place of its first member in the whole order; refined ones lie between it and the next bucket's,
+    so other numbers stay valid. Keys are below 2**32 unless all numbers are 0."""
+    both = key if not number.any() else (number.astype(U64) << U64(32)) | key.astype(U64)
+    order = np.argsort(both)
+    n, both = number[order], both[order]
+    new = np.ones(len(order), bool)
+    new[1:] = both[1:] != both[:-1]
+    old = np.ones(len(order), bool)
+    old[1:] = n[1:] != n[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    begins = np.flatnonzero(old)
+    return order, n + np.repeat(first, size) - np.repeat(begins, np.diff(np.append(begins, len(order)))), np.repeat(size, size)
+
+
+def equal_pieces(data: bytes, at: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Bucket numbers from 0 of pieces of bytes: equal for equal pieces of one anchor. Buckets of one anchor and size are refined by the
+    q-gram at later offsets; a bucket whose members agree there stays as it is."""
+    order, number, members = split(np.zeros(len(at), np.int64), (anchor << U64(16)) | size.astype(U64))
+    gram, offset, at, size = grams(data), 0, at[order], size[order]
+    open_ = np.flatnonzero(members > 1)  # places in the order, in which buckets stay together
+    while len(open_):
+        key, n = gram[at[open_] + np.minimum(offset, size[open_] - 8)], number[open_]
+        begins = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+        width = np.diff(np.append(begins, len(open_)))
+        uneven = np.repeat(np.logical_or.reduceat(key != np.repeat(key[begins], width), begins), width)
+        some = open_[uneven]
+        if len(some):
+            ranks = np.unique(key[uneven], return_inverse=True)[1]
+            by, number[some], _ = split(number[some], ranks)
+            order[some], at[some], size[some] = order[some][by], at[some][by], size[some][by]
+        offset += 8
+        n = number[open_]
+        begins = np.flatnonzero(np.concatenate([[True], n[1:] != n[:-1]]))
+        width = np.diff(np.append(begins, len(open_)))
+        open_ = open_[(np.repeat(width, width) > 1) & (size[open_] > offset)]
+    out = np.empty(len(at), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(number[1:] != number[:-1])]) if len(at) else number
+    return out
+
+
+def refine(number: np.ndarray, room: np.ndarray, open_: np.ndarray, depth: int) -> None:
+    """Refines, in place, buckets of strings of ``depth`` bytes to ``LENGTH``. ``room`` is how many bytes follow a place in its segment;
+    ``open_`` are the places in buckets of several."""
+    step = min(depth, LENGTH - depth)
+    if not step or not len(open_):
         return
-    texts, ids, marks = [texts[i] for i in order], ids[order], marks[order]
-    text, first, last, anchor, _ = runs_of(texts)
-    keep = np.zeros(len(text), bool)
-    ends = np.searchsorted(text, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        a, b = ends[i], ends[i + 1]
-        keep[a:b] = np.isin(anchor[a:b], wanted[int(ids[i]), int(marks[i])])
-    owner: dict[bytes, int] = {}
-    sent, gone = [], []
-    for t, a, b, x in zip(text[keep].tolist(), first[keep].tolist(), (last[keep] + LENGTH).tolist(), anchor[keep].tolist(), strict=True):
-        piece = texts[t][a:b]
-        if ids[owner.setdefault(piece, t)] < ids[t]:
-            gone.append((t, a, b))
-        else:
-            sent.append((x, t, a, piece))
-    if gone:
-        t, a, b = np.array(gone, np.int64).T
-        yield {"bucket": int(bucket_of(anchor[:1], buckets)[0]), "kind": 1} | packed(ids=ids[t], marks=marks[t], starts=a, ends=b)
-    if sent:
-        anchor = np.array([x for x, *_ in sent], U64)
-        bucket = bucket_of(anchor, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            now = order[a:b].tolist()
-            rows, at = np.unique([sent[i][1] for i in now], return_inverse=True)
-            starts, sizes = np.array([sent[i][2] for i in now], np.int32), np.array([len(sent[i][3]) for i in now], np.int32)
-            yield {"bucket": int(bucket[now[0]]), "kind": 0, "anchors": six_bytes(anchor[now]), "bytes": b"".join(sent[i][3] for i in now)} | packed(ids=ids[rows], marks=marks[rows], at=at.astype(np.int32), starts=starts, ends=sizes)
+    longer = room[open_] >= depth + step
+    later = np.where(longer, number[np.minimum(open_ + step, len(number) - 1)] + 1, 0)  # a place without room comes first
+    order, numbers, members = split(number[open_], later)
+    open_, longer = open_[order], longer[order]
+    number[open_] = numbers
+    refine(number, room, open_[longer & (members > 1)], depth + step)
+
+
+def string_buckets(data: bytes, room: np.ndarray) -> np.ndarray:
+    """For each place with room for ``LENGTH`` bytes its bucket number, equal for equal strings."""
+    open_ = np.flatnonzero(room >= 8)
+    number = np.full(len(room), -1, np.int64)
+    order, numbers, members = split(np.zeros(len(open_), np.int64), grams(data)[open_])
+    open_ = open_[order]
+    number[open_] = numbers
+    refine(number, room, open_[members > 1], 8)
+    return number
+
+
+def among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which values are in an ascending array."""
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
 def refined(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Bucket numbers of the strings of ``LENGTH`` bytes that start at ``at``: equal for equal strings."""
-    h = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(U64)
-    h = (h[:-1] << U64(8)) | h[1:]
-    h = (h[:-2] << U64(16)) | h[2:]
-    first = np.unique((h[:-4] << U64(32)) | h[4:], return_inverse=True)[1].astype(U64)[: len(raw)]  # by 8 bytes
-    pairs = (first[:-8] << U64(32)) | first[8:]
-    _, second, times = np.unique(pairs, return_inverse=True, return_counts=True)  # by 16
-    out = second[at].astype(np.int64)
-    open_ = times[second[at]] > 1
-    p, second = at[open_], second.astype(U64)
-    both = np.concatenate([p, p + LENGTH - 32])
-    third = np.unique((second[both] << U64(32)) | second[both + 16], return_inverse=True)[1].astype(U64)  # by 32
-    fourth = np.unique((third[: len(p)] << U64(32)) | third[len(p) :], return_inverse=True)[1]  # by LENGTH
-    out[open_] = len(times) + fourth
-    return out
+    return string_buckets(raw.tobytes(), len(raw) - np.arange(len(raw)))[at]
 
 
-def removed_ranges(table: pa.Table, parts: int) -> pa.Table | None:
-    """Ranges of documents that a bucket's segments show to be removed."""
-    out: list[tuple[np.ndarray, ...]] = []
-    number: dict[bytes, int] = {}
-    ids, marks, starts, anchor_of, which = [], [], [], [], []
-    for row in table.to_pylist():
-        i, m = (np.frombuffer(row[k], np.int64) for k in ("ids", "marks"))
-        s, e = (np.frombuffer(row[k], np.int64 if row["kind"] == 1 else np.int32).astype(np.int64) for k in ("starts", "ends"))
-        if row["kind"] == 1:
-            out.append((i, m, s, e))
-            continue
-        offset, data, at = 0, row["bytes"], np.frombuffer(row["at"], np.int32)
-        a = from_six_bytes(row["anchors"]).tolist()
-        for k, n in enumerate(e.tolist()):
-            x = number.setdefault(data[offset : offset + n], len(number))
-            if x == len(anchor_of):
-                anchor_of.append(a[k])
-            which.append(x)
-            offset += n
-        ids.append(i[at]), marks.append(m[at]), starts.append(s)
-    if ids:
-        out += bucket_ranges(list(number), np.array(anchor_of, U64), np.array(which), np.concatenate(ids), np.concatenate(marks), np.concatenate(starts))
-    i, m, s, e = ([x[k] for x in out] for k in range(4))
-    return by_part(parts, ids=i, marks=m, starts=s, ends=e)
+class Pieces:
+    """Pieces of bytes by number."""
+
+    def __init__(self, data: bytes, at: np.ndarray, size: np.ndarray):
+        self.data, self.at, self.size = data, at.tolist(), size.tolist()
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> bytes:
+        if i >= len(self.at):
+            raise IndexError
+        return self.data[self.at[i] : self.at[i] + self.size[i]]
 
 
 def parted(order: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
@@ -269,132 +387,236 @@ def parted(order: np.ndarray, group: np.ndarray, sizes: np.ndarray) -> Iterator[
         yield order[at:]
 
 
-def bucket_ranges(segments: list[bytes], anchor_of: np.ndarray, which: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+def bucket_ranges(segments, anchor_of: np.ndarray, which: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(ids, marks, starts, ends) of what goes: ``which`` of the different ``segments`` each document has from where on."""
+    rows, begin, end = segment_ranges(segments, anchor_of, which, ids)
+    return [(ids[rows], marks[rows], starts[rows] + begin, starts[rows] + end)]
+
+
+def segment_ranges(segments, anchor_of: np.ndarray, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The members that lose bytes, and from and to where within their segment."""
     sizes = np.array([len(s) for s in segments], np.int64)
-    least = np.full(len(segments), np.iinfo(np.int64).max)
+    least = np.full(len(sizes), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
     _, group, times = np.unique(anchor_of, return_inverse=True, return_counts=True)
     mixed = np.flatnonzero(times[group] > 1)
     low, high, firsts = least.copy(), least.copy(), {}
     for some in parted(mixed[np.argsort(group[mixed], kind="stable")], group, sizes):
         begin = np.concatenate([[0], np.cumsum(sizes[some])])
-        count = sizes[some] - LENGTH + 1
-        of = np.repeat(np.arange(len(some)), count)
-        edge = np.concatenate([[0], np.cumsum(count)])
-        at = begin[of] + np.arange(edge[-1]) - edge[of]
-        bucket = refined(np.frombuffer(b"".join(segments[i] for i in some.tolist()), np.uint8), at)
-        names, bucket = np.unique(bucket, return_inverse=True)
+        of = np.repeat(np.arange(len(some)), sizes[some])
+        room = begin[1:][of] - np.arange(begin[-1])
+        number = string_buckets(b"".join(segments[i] for i in some.tolist()) + bytes(7), room)
+        at = np.flatnonzero(room >= LENGTH)
+        names, bucket = np.unique(number[at], return_inverse=True)
         first = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(first, bucket, least[some][of])
+        np.minimum.at(first, bucket, least[some][of[at]])
         first = first[bucket]
+        edge = np.concatenate([[0], np.cumsum(sizes[some] - LENGTH + 1)])
         low[some], high[some] = np.minimum.reduceat(first, edge[:-1]), np.maximum.reduceat(first, edge[:-1])
-        for k, i in enumerate(some.tolist()):
-            if low[i] != high[i]:
-                firsts[i] = first[edge[k] : edge[k + 1]].copy()
+        for k in np.flatnonzero(low[some] != high[some]).tolist():
+            firsts[int(some[k])] = first[edge[k] : edge[k + 1]].copy()
     whole = high[which] < ids
-    out = [(ids[whole], marks[whole], starts[whole], starts[whole] + sizes[which[whole]])]
-    some = np.flatnonzero(~whole & (low[which] < ids))
-    rows, begins, ends = [], [], []
-    for k in some.tolist():
+    rows, begins, ends = [np.flatnonzero(whole)], [np.zeros(int(whole.sum()), np.int64)], [sizes[which[whole]]]
+    for k in np.flatnonzero(~whole & (low[which] < ids)).tolist():
         hit = np.flatnonzero(firsts[int(which[k])] < ids[k])
         cut = np.flatnonzero(np.diff(hit) > LENGTH)
-        begins.append(hit[np.concatenate([[0], cut + 1])] + starts[k])
-        ends.append(hit[np.concatenate([cut, [len(hit) - 1]])] + starts[k] + LENGTH)
-        rows.append(np.full(len(cut) + 1, k))
-    if rows:
-        k = np.concatenate(rows)
-        out.append((ids[k], marks[k], np.concatenate(begins), np.concatenate(ends)))
-    return out
-
-
-def kept_rows(ids: np.ndarray, marks: np.ndarray, texts: list[bytes], ranges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    removed, spans, digests = [], [], []
-    for i, m, t in zip(ids.tolist(), marks.tolist(), texts, strict=True):
-        found = ranges.get((i, m))
-        merged: list[list[int]] = []
-        if found:
-            for a, b in sorted(zip(found[0].tolist(), found[1].tolist(), strict=True)):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-        digest, at = hashlib.sha256(), 0
-        for a, b in merged:
-            digest.update(t[at:a])
+        rows.append(np.full(len(cut) + 1, k)), begins.append(hit[np.concatenate([[0], cut + 1])]), ends.append(hit[np.concatenate([cut, [len(hit) - 1]])] + LENGTH)
+    return np.concatenate(rows), np.concatenate(begins), np.concatenate(ends)
+
+
+class Segments:
+    """Segments of documents: ``data`` holds the bytes, other fields are arrays with an entry a segment."""
+
+    def __init__(self, data: bytes, **fields):
+        self.data, self.fields = data, fields
+
+    def __getattr__(self, name: str):
+        return self.fields[name]
+
+    def only(self, keep: np.ndarray) -> Segments:
+        return Segments(self.data, **{k: v[keep] for k, v in self.fields.items()})
+
+    def moved(self) -> Segments:
+        """The same with no other bytes."""
+        at, size = self.at.tolist(), self.size.tolist()
+        data = b"".join([self.data[a : a + n] for a, n in zip(at, size, strict=True)])
+        return Segments(data, **self.fields | {"at": np.cumsum(self.size) - self.size})
+
+    def collapsed(self) -> tuple[Segments, tuple[np.ndarray, ...], np.ndarray]:
+        """Of equal segments those of the smallest document, the ranges of the others, which go, and the bucket numbers of those left."""
+        number = equal_pieces(self.data + bytes(7), self.at, self.size, self.anchor)
+        least = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, number, self.ids)
+        gone = self.ids > least[number]
+        g = self.only(gone)
+        return self.only(~gone), (g.part, g.ids, g.marks, g.starts, g.starts + g.size), number[~gone]
+
+    def ranges(self, number: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What goes of collapsed segments, whose bucket numbers are ``number``."""
+        _, one, which = np.unique(number, return_index=True, return_inverse=True)
+        rows, begin, end = segment_ranges(Pieces(self.data, self.at[one], self.size[one]), self.anchor[one], which, self.ids)
+        return self.part[rows], self.ids[rows], self.marks[rows], self.starts[rows] + begin, self.starts[rows] + end
+
+
+def merged_ranges(part: np.ndarray, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of the same row that touch as one; in order of part and row."""
+    order = np.lexsort((starts, marks, ids, part))
+    part, ids, marks, starts, ends = (x[order] for x in (part, ids, marks, starts, ends))
+    if not len(part):
+        return part, ids, marks, starts, ends
+    row = np.concatenate([[0], np.cumsum((np.diff(part) != 0) | (np.diff(ids) != 0) | (np.diff(marks) != 0))])
+    _, row_of = np.unique(row, return_inverse=True)
+    shift = row_of.astype(np.int64) << 32  # texts are shorter than that
+    reach = np.maximum.accumulate(ends + shift)
+    new = np.concatenate([[True], (starts + shift)[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    return part[at], ids[at], marks[at], starts[at], (reach - shift)[np.append(at[1:], len(part)) - 1]
+
+
+def range_rows(found: list[tuple[np.ndarray, ...]]) -> pa.Table:
+    """A row for each part with the ranges of its documents."""
+    part, *rest = merged_ranges(*(np.concatenate(x) for x in zip(*found, strict=True))) if found else [np.empty(0, np.int64)]
+    return pa.Table.from_pylist([{"part": int(part[a])} | packed(**{k: v[a:b] for k, v in zip(("ids", "marks", "starts", "ends"), rest, strict=True)}) for a, b in cuts_of(part)], RANGES)
+
+
+def segments_of_part(left: pa.Table, right: pa.Table, buckets: int) -> pa.Table:
+    """What a part sends: to each bucket the different segments of its documents, each of the smallest of them (kind 0), and the ranges
+    that its own documents remove from one another (kind 1)."""
+    if not left.num_rows or not right.num_rows:
+        return SEGMENTS.empty_table()
+    texts, part = Texts(left), left["part"][0].as_py()
+    join = lambda c: np.sort(from_six_bytes(b"".join(right[c].to_pylist())))
+    known, own = join("anchors"), join("own")
+    parts = []
+    for text, at, n, anchor in runs_of(texts):
+        keep = among(anchor, known) | among(anchor, own)
+        text, at, n, anchor = text[keep], at[keep], n[keep], anchor[keep]
+        more = -(-n // RUN)  # long runs are cut
+        piece = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        of = np.repeat(np.arange(len(n)), more)
+        parts.append((text[of], at[of] + piece * RUN, np.minimum(n[of] - piece * RUN, RUN) + LENGTH - 1, anchor[of]))
+    text, at, size, anchor = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 4
+    if not len(text):
+        return SEGMENTS.empty_table()
+    whole = Segments(texts.raw.tobytes(), row=text, part=np.full(len(text), part), ids=texts.ids[text], marks=texts.marks[text], starts=at - texts.begins[text], at=at, size=size, anchor=anchor)
+    whole, gone, number = whole.collapsed()
+    alone = among(whole.anchor, own)
+    found = [gone, whole.only(alone).ranges(number[alone])]
+    rows = [{"bucket": p % buckets, "part": p, "kind": 1} | {k: r[k] for k in ("ids", "marks", "starts", "ends")} for r in range_rows(found).to_pylist() for p in (r["part"],)]
+    sent = whole.only(~alone)
+    bucket = bucket_of(sent.anchor, buckets)
+    order = np.argsort(bucket, kind="stable")
+    for a, b in cuts_of(bucket[order]):
+        s = sent.only(order[a:b])
+        row, of = np.unique(s.row, return_inverse=True)
+        s = s.moved()
+        rows.append({"bucket": int(bucket[order[a]]), "part": part, "kind": 0, "anchors": six_bytes(s.anchor), "bytes": s.data} | packed(ids=texts.ids[row], marks=texts.marks[row], at=of.astype(np.int32), starts=s.starts.astype(np.uint32), ends=s.size.astype(np.uint16)))
+    return pa.Table.from_pylist(rows, SEGMENTS)
+
+
+class SegmentFold:
+    """Streams over the segments that parts send to a bucket. Holds those of the smallest document of each refined bucket, so what it
+    holds follows the different segments and not their copies; the end refines the strings where an anchor has different segments."""
+
+    def __init__(self):
+        self.held: Segments | None = None
+        self.number: np.ndarray | None = None
+        self.waiting: list[dict] = []
+        self.size = 0
+        self.out: list[tuple[np.ndarray, ...]] = []
+        self.n_out = 0
+
+    def add(self, table: pa.Table) -> Iterator[pa.Table]:
+        for row in table.to_pylist():
+            i, m = (np.frombuffer(row[k], np.int64) for k in ("ids", "marks"))
+            if row["kind"] == 1:
+                yield from self.gone((np.full(len(i), row["part"]), i, m, np.frombuffer(row["starts"], np.int64), np.frombuffer(row["ends"], np.int64)))
+                continue
+            at = np.frombuffer(row["at"], np.int32)
+            self.waiting.append({"part": np.full(len(at), row["part"]), "ids": i[at], "marks": m[at], "starts": np.frombuffer(row["starts"], np.uint32).astype(np.int64), "size": np.frombuffer(row["ends"], np.uint16).astype(np.int64), "anchor": from_six_bytes(row["anchors"]), "data": row["bytes"]})
+            self.size += len(row["bytes"])
+            if self.size >= max(LOT, len(self.held.data) if self.held else 0):  # so that what is held is seldom refined again
+                yield from self.merged()
+
+    def gone(self, found: tuple[np.ndarray, ...]) -> Iterator[pa.Table]:
+        self.out.append(found)
+        self.n_out += len(found[0])
+        if self.n_out >= HELD:
+            yield range_rows(self.out)
+            self.out, self.n_out = [], 0
+
+    def merged(self) -> Iterator[pa.Table]:
+        if not self.waiting:
+            return
+        held = [{"data": self.held.data} | {k: v for k, v in self.held.fields.items() if k != "at"}] if self.held else []
+        data = b"".join(x["data"] for x in held + self.waiting)
+        fields = {k: np.concatenate([x[k] for x in held + self.waiting]) for k in ("part", "ids", "marks", "starts", "size", "anchor")}
+        self.waiting, self.size = [], 0
+        left, found, self.number = Segments(data, at=np.cumsum(fields["size"]) - fields["size"], **fields).collapsed()
+        self.held = left.moved()
+        yield from self.gone(found)
+
+    def end(self) -> Iterator[pa.Table]:
+        yield from self.merged()
+        if self.held:
+            self.out.append(self.held.ranges(self.number))
+        yield range_rows(self.out)
+
+
+def finished_part(left: pa.Table, right: pa.Table) -> pa.Table:
+    texts = Texts(left)
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for row in right.to_pylist():
+        for k, x in zip(("ids", "marks", "starts", "ends"), found, strict=True):
+            x.append(np.frombuffer(row[k], np.int64))
+    ids, marks, starts, ends = (np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
+    _, ids, marks, starts, ends = merged_ranges(np.zeros(len(ids), np.int64), ids, marks, starts, ends)
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for i, m, a, b in zip(ids.tolist(), marks.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        spans.setdefault((i, m), []).append((a, b))
+    removed, flat, digests = [], [], []
+    view, begins = memoryview(texts.raw), texts.begins.tolist()
+    for k, key in enumerate(zip(texts.ids.tolist(), texts.marks.tolist(), strict=True)):
+        text, of, digest, at = view[begins[k] : begins[k + 1]], spans.get(key, []), hashlib.sha256(), 0
+        for a, b in of:
+            digest.update(text[at:a])
             at = b
-        digest.update(t[at:])
-        removed.append(sum(b - a for a, b in merged)), spans.append(merged), digests.append(digest.hexdigest())
-    flat = [[x for r in s for x in r] for s in spans]
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(flat, pa.list_(pa.int64())), "kept_sha256": pa.array(digests, pa.string())})
-
+        digest.update(text[at:])
+        removed.append(sum(b - a for a, b in of)), flat.append([x for r in of for x in r]), digests.append(digest.hexdigest())
+    return pa.table({"doc_id": pa.array(texts.ids, pa.int64()), "n_bytes": pa.array(np.diff(texts.begins), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(flat, pa.list_(pa.int64())), "kept_sha256": pa.array(digests, pa.string())})
 
-def by_row(table: pa.Table, *columns: str) -> dict[tuple[int, int], list[np.ndarray]]:
-    """For each (id, mark) of packed rows the values of these columns."""
-    if not table.num_rows:
-        return {}
-    join = lambda k, t: np.concatenate([np.frombuffer(x, t) for x in table[k].to_pylist()])
-    ids, marks = join("ids", np.int64), join("marks", np.int64)
-    order = np.lexsort((marks, ids))
-    ids, marks = ids[order], marks[order]
-    values = [join(c, U64 if c == "anchors" else np.int64)[order] for c in columns]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(ids).astype(bool) | np.diff(marks).astype(bool)) + 1, [len(ids)]])
-    return {(int(ids[a]), int(marks[a])): [v[a:b] for v in values] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b > a}
 
-
-def columns_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    texts = table["text"].cast(pa.large_binary() if pa.types.is_large_string(table["text"].type) else pa.binary()).to_pylist()
-    return table["doc_id"].to_numpy(), table["mark"].to_numpy(), texts
-
-
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans, kept_sha256.
 
     Texts are taken as UTF-8, null as empty. ``spans`` is a flat array of start and end (exclusive) of the maximal removed byte ranges;
-    strings are judged on the input, not on what is left. ``doc_id`` is an integer; rows that repeat an id are judged each and don't remove
-    from one another; a row without id is left as it is and removes nothing. Texts of any length are cut in pieces of bounded memory for
-    their anchors. An empty table gives an empty result. Other columns are ignored.
+    strings are judged on the input, not on what is left. ``doc_id`` is of an integer type, others are refused; rows that repeat an id
+    are judged each and don't remove from one another; a row without id is left as it is and removes nothing. A text is held whole by
+    the worker that has its part, with arrays for ``AT_ONCE`` of its places at a time and for its segments; a text longer than a part is
+    a part of its own size. An empty table gives an empty result. Other columns are ignored.
     """
-    texts = texts_of(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    texts = texts.withColumn("sha", F.sha2("text", 256)).withColumn("mark", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint"))
-    rows = checkpoint(texts.select("doc_id", "mark", "sha", F.octet_length("text").cast("bigint").alias("n_bytes")))
-    able = rows.filter((F.col("n_bytes") >= LENGTH) & F.col("doc_id").isNotNull())
-    firsts = checkpoint(able.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").select("sha", "first", "n"))
-    copies = checkpoint(join_sized(able, firsts, ["sha"], "n").filter("doc_id > first").select("doc_id", "mark", "n_bytes").distinct())
-    total = able.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(partitions_for(docs), -(-total // bucket_bytes))
-    own = only_ids(texts.filter((F.octet_length("text") >= LENGTH) & F.col("doc_id").isNotNull()).select("doc_id", "mark", "text"), copies, "left_anti", keys=KEYS)
-
-    packs = {"ids": "binary", "marks": "binary"}
-    shape = lambda more: ", ".join(f"{k} {v}" for k, v in ({"bucket": "bigint", "kind": "int"} | packs | more).items())
-    first_shape, second_shape = {"anchors": "binary", "at": "binary"}, {"starts": "binary", "ends": "binary", "anchors": "binary", "at": "binary", "bytes": "binary"}
-    arrow = lambda more: pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((k, pa.binary()) for k in packs | more)])
-
-    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 2):
-                found = list(anchor_rows(*columns_of(pa.Table.from_batches([part])), buckets))
-                yield from pa.Table.from_pylist(found, arrow(first_shape)).to_batches()
-
-    def send_segments(left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = {k: v[0] for k, v in by_row(right, "anchors").items()}
-        return pa.Table.from_pylist(list(segment_rows(*columns_of(left), wanted, buckets)), arrow(second_shape))
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        return kept_rows(*columns_of(left), {k: (v[0], v[1]) for k, v in by_row(right, "starts", "ends").items()})
-
-    sent = own.mapInArrow(send_anchors, shape(first_shape))
-    repeated = map_groups(sent, ["bucket"], lambda t: repeated_anchors(t, buckets), "part bigint, ids binary, marks binary, anchors binary")
-    dealt = own.select(part_column("doc_id", buckets).alias("part"), "doc_id", "mark", "text").groupBy("part")
-    segments = dealt.cogroup(repeated.groupBy("part")).applyInArrow(send_segments, shape(second_shape))
-    ranges = map_groups(segments, ["bucket"], lambda t: removed_ranges(t, buckets), "part bigint, ids binary, marks binary, starts binary, ends binary")
-    kept = dealt.cogroup(ranges.groupBy("part")).applyInArrow(finish, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<bigint>, kept_sha256 string")
+    texts = texts_of(docs, id_col, text_col)
+    if dict(texts.dtypes)["doc_id"] not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"{id_col} must be of an integer type")
+    size = F.octet_length("text").cast("bigint")
+    texts = texts.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    short = F.col("doc_id").isNull() | (size < LENGTH)
+    own = texts.filter(~short).withColumn("mark", F.xxhash64("text"))
+    held = checkpoint(own.groupBy("mark").agg(F.sum(size).alias("held")))
+    total = held.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    parts, buckets = max(1, -(-total // part_bytes)), max(1, -(-total // bucket_bytes))
+    heavy = held.filter(F.col("held") > max(part_bytes, total // HEAVY)).select("mark", F.ceil(F.col("held") / part_bytes).alias("cells"))  # fewer than HEAVY rows
+    cell = F.when(F.col("cells").isNotNull(), F.pmod(F.xxhash64("doc_id"), "cells")).otherwise(F.lit(0).cast("bigint"))
+    part = F.pmod(F.xxhash64("mark", cell), F.lit(parts).cast("bigint"))
+    dealt = own.join(F.broadcast(heavy), "mark", "left").select(part.alias("part"), "doc_id", "mark", "text").repartition(partitions_for(docs), "part")
+
+    of_part = dealt.groupBy("part")
+    sent = of_part.applyInArrow(lambda t: anchors_of_part(t, buckets), ddl(ANCHORS))
+    repeated = fold_groups(sent, ["bucket"], AnchorFold, ddl(REPEATED))
+    segments = of_part.cogroup(repeated.groupBy("part")).applyInArrow(lambda a, b: segments_of_part(a, b, buckets), ddl(SEGMENTS))
+    ranges = fold_groups(segments, ["bucket"], SegmentFold, ddl(RANGES))
+    kept = of_part.cogroup(ranges.groupBy("part")).applyInArrow(finished_part, KEPT)
 
     none = F.expr("cast(array() as array<bigint>)")
-    gone = rows.join(copies.select(*KEYS), KEYS, "left_semi").select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.array(F.lit(0).cast("bigint"), "n_bytes").alias("spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
-    rest = rows.filter((F.col("n_bytes") < LENGTH) | F.col("doc_id").isNull()).select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.col("sha").alias("kept_sha256"))
-    return kept.unionByName(gone).unionByName(rest)
-
-
-def part_column(name: str, parts: int) -> Column:
-    """``part_of`` as a column."""
-    return F.pmod(F.col(name), F.lit(PRIME).cast("bigint")) * 48271 % PRIME % parts
+    rest = texts.filter(short).select("doc_id", size.alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), none.alias("spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.unionByName(rest)
