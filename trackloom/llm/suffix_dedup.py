@@ -395,7 +395,7 @@ def bucket_ranges(segments, anchor_of: np.ndarray, which: np.ndarray, ids: np.nd
 
 def segment_ranges(segments, anchor_of: np.ndarray, which: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The members that lose bytes, and from and to where within their segment."""
-    sizes = np.array([len(s) for s in segments], np.int64)
+    sizes = np.array(segments.size if isinstance(segments, Pieces) else [len(s) for s in segments], np.int64)
     least = np.full(len(sizes), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
     _, group, times = np.unique(anchor_of, return_inverse=True, return_counts=True)
@@ -604,7 +604,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = texts.filter(~short).withColumn("mark", F.xxhash64("text"))
     held = checkpoint(own.groupBy("mark").agg(F.sum(size).alias("held")))
     total = held.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-    parts, buckets = max(1, -(-total // part_bytes)), max(1, -(-total // bucket_bytes))
+    least = partitions_for(docs) if total else 1
+    parts, buckets = max(least, -(-total // part_bytes)), max(least, -(-total // bucket_bytes))
     heavy = held.filter(F.col("held") > max(part_bytes, total // HEAVY)).select("mark", F.ceil(F.col("held") / part_bytes).alias("cells"))  # fewer than HEAVY rows
     cell = F.when(F.col("cells").isNotNull(), F.pmod(F.xxhash64("doc_id"), "cells")).otherwise(F.lit(0).cast("bigint"))
     part = F.pmod(F.xxhash64("mark", cell), F.lit(parts).cast("bigint"))
