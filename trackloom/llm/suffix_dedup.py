@@ -606,7 +606,8 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = held.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     least = partitions_for(docs) if total else 1
     parts, buckets = max(least, -(-total // part_bytes)), max(least, -(-total // bucket_bytes))
-    heavy = held.filter(F.col("held") > max(part_bytes, total // HEAVY)).select("mark", F.ceil(F.col("held") / part_bytes).alias("cells"))  # fewer than HEAVY rows
+    size_of_part = max(1, total // parts)
+    heavy = held.filter(F.col("held") > max(size_of_part, total // HEAVY)).select("mark", F.ceil(F.col("held") / size_of_part).alias("cells"))  # fewer than HEAVY rows
     cell = F.when(F.col("cells").isNotNull(), F.pmod(F.xxhash64("doc_id"), "cells")).otherwise(F.lit(0).cast("bigint"))
     part = F.pmod(F.xxhash64("mark", cell), F.lit(parts).cast("bigint"))
     dealt = own.join(F.broadcast(heavy), "mark", "left").select(part.alias("part"), "doc_id", "mark", "text").repartition(partitions_for(docs), "part")
