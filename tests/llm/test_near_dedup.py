@@ -8,6 +8,7 @@ import pytest
 
 from tests.llm.cases import awkward, frame, rows, same, synthetic
 from trackloom.llm import near_dedup
+from trackloom.llm.common import checkpoint
 from trackloom.llm.graph import components
 
 LOW = {c: c + 32 for c in range(65, 91)}
@@ -87,8 +88,45 @@ def test_components_of_chains(spark):
         assert got.get(names[i], names[i]) == min(part)
 
 
-def test_shared_counts():
+def test_the_sketch_of_the_union_decides_small_sets_and_passes_near_ones():
     r = np.random.default_rng(1)
-    sets = [np.unique(r.integers(0, 9000, r.integers(1, 300))) for _ in range(40)]
-    got = near_dedup.shared_counts(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i][:128], sets[j][:128])) for i in range(40) for j in range(40) if i != j)
+    least = near_dedup.least_common(80)
+    for n in (5, 20, 39, 60, 200, 1000):
+        for share in (0.3, 0.5, 0.85, 0.95, 1.0):
+            drawn, k = r.choice(10**9, 2 * n, replace=False), int(n * share)
+            a, b = (np.unique(np.concatenate([drawn[:k], drawn[at : at + n - k]])) for at in (k, n))
+            union, shared = len(np.union1d(a, b)), len(np.intersect1d(a, b))
+            passed = near_dedup.likely(a[: near_dedup.SKETCH], b[: near_dedup.SKETCH], 80, least)
+            if union <= near_dedup.SKETCH:
+                assert passed == (100 * shared >= 80 * union)
+            assert passed or 100 * shared < 80 * union
+            assert not passed or n < 200 or shared > 0.2 * union
+
+
+def rows_between(spark, monkeypatch, given):
+    """Rows of the checkpoints and cells of one run."""
+    seen = []
+
+    def counted(df):
+        out = checkpoint(df)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "checkpoint", counted)
+    kept = near_dedup.near_duplicates(frame(spark, given), words=2).filter("kept").count()
+    return seen, kept
+
+
+@pytest.mark.parametrize("kind", ["common passage", "edited copies"])
+def test_rows_between_stages_grow_in_proportion(spark, monkeypatch, kind):
+    r = random.Random(kind)
+    base = [f"p{r.randrange(9000)}" for _ in range(150)]
+    found = {}
+    for n in (500, 2000):
+        if kind == "edited copies":
+            given = [(k, edited(r, base, r.randrange(1, 8))) for k in range(n)]
+        else:
+            given = [(k, " ".join(base[:70] + [f"o{r.randrange(10**7)}" for _ in range(30)])) for k in range(n)]
+        found[n], kept = rows_between(spark, monkeypatch, given)
+        assert kept == (n if kind == "common passage" else kept)
+    assert sum(found[2000]) < 5 * sum(found[500]) and max(found[2000]) < 5 * max(found[500]), found

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint
+from trackloom.llm.common import checkpoint, join_sized
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of the edges (a, b) other than its component's smallest, that smallest node.
 
-    Every step joins and aggregates by key; edges stay distributed. The number of steps grows with the logarithm of the longest chain.
+    Every step joins and aggregates by key; edges stay distributed, and a node with very many neighbours is broadcast to them. The number of steps grows with the logarithm of the longest chain.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     pairs = checkpoint(pairs)
@@ -22,8 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"))
+        large = join_sized(both, least, ["u"], "size").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         pairs = checkpoint(small.filter("u <> v").distinct())

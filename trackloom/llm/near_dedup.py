@@ -1,16 +1,18 @@
 """Near duplicates by word shingles: bottom-k sketches from one hash function, inverted lists, exact Jaccard on full sets.
 
-1. Each text gives the hashes of its distinct shingles; texts of equal sets are one class, so copies are never compared.
-2. A class's sketch is the ``SKETCH`` least hashes. Inverted lists are kept for runs of ``RUN`` neighbouring values of a sketch (sets
-   that fit into the sketch are taken as a ring). Of two sets with Jaccard 0.8 or more, each value of the union's sketch is shared with
-   probability 0.8 or more, so they miss having a common run in 40 values with a probability below 1e-6; sets that fit into a sketch
-   always have one.
-3. In each list the member whose lists hold most others is the pivot. All members are compared with their pivots on full sets; as edited
-   copies lie round their original, that links nearly all that is to be linked, with as many comparisons as list entries.
-4. What components leave apart within a pivot's lists is compared pair by pair, in cells of at most ``2 * CELL`` sets, by size buckets:
-   sketches of the 128 least values filter pairs by the estimate from the union's sketch, and full sets decide. Pairs already in one
-   component are passed over. No list is cut off or sampled.
-5. Links become components by large-star and small-star steps.
+1. Each text gives the hashes of its distinct shingles; texts of equal sets are one class, so copies are never compared. A class's
+   sketch is the ``SKETCH`` least hashes.
+2. Inverted lists of the retained values. Of two sets with a Jaccard of 0.8 or more, the sketch of the union, which both sketches give,
+   holds at least ``COMMON`` values of both but for a probability below 3e-7; so a class needs to be in the lists of its ``SKETCH - COMMON + 1``
+   rarest values alone, by list length. Where a set fits into the sketch and so do all that may be linked with it, the bound is exact.
+3. In each list the member with most neighbours is the pivot, and all members are paired with it: as edited copies lie round their
+   original, that links nearly all that is to be linked, with as many pairs as list entries.
+4. Pairs are confirmed: from both sketches the sketch of the union estimates the Jaccard, and those that pass are decided on full sets.
+5. Members of one pivot that are in different components after that are looked up again, now in lists of all their values: two linked sets must
+   share one of the rarest fifth of either's values, so texts that share a common passage and have a fifth of their own never meet.
+   Only pairs of different components, whose sizes and places in the lists allow a link, are confirmed as before; no list is cut or
+   sampled.
+6. Links become components by large-star and small-star steps.
 """
 
 from __future__ import annotations
@@ -20,15 +22,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import checkpoint, join_sized, map_groups, map_texts, only_ids, remembered, texts_of
 from trackloom.llm.graph import components
 
-SKETCH, RUN, CELL, WIDE = 40, 3, 512, 128
-#: Standard errors that an estimate may lie below the threshold before a pair is dropped.
-MARGIN = 4.5
+#: Values of a sketch; members and values of a cell.
+SKETCH, CELL, CELL_VALUES = 40, 512, 4 << 20
+#: Greatest probability that a pair at the threshold is passed over.
+MISS = 3e-7
+
+
+def least_common(percent: int) -> int:
+    """How many values of a union's sketch are in both sets at least, but for the probability ``MISS``."""
+    p, below = percent / 100, 0.0
+    for x in range(SKETCH + 1):
+        below += math.comb(SKETCH, x) * p**x * (1 - p) ** (SKETCH - x)
+        if below > MISS:
+            return max(1, x)
+    return SKETCH
 
 
 class WordHashes(dict):
@@ -70,8 +83,8 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(rep, set) of the texts with these doc_ids; a set is its sorted 64-bit values as bytes."""
-    return map_texts(only_ids(texts, ids), lambda: lambda batch: {"set": [shingle_set(t, words).tobytes() for t in batch]}, {"set": "binary"}).withColumnRenamed("doc_id", "rep")
+    """(rep, values) of the texts with these doc_ids: the set's sorted 64-bit values as bytes."""
+    return map_texts(only_ids(texts, ids), lambda: lambda batch: {"values": [shingle_set(t, words).tobytes() for t in batch]}, {"values": "binary"}).withColumnRenamed("doc_id", "rep")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -79,63 +92,44 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-class Groups:
-    """Union-find over the members of one cell."""
-
-    def __init__(self, of: list[int]):
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(c, i) for i, c in enumerate(of)]
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.root(i)] = self.root(j)
-
-
-def star_links(table: pa.Table, percent: int) -> pa.Table | None:
-    """Links of one pivot with the members of a cell."""
-    reps, pivot = table["rep"].to_pylist(), table["pivot"][0].as_py()
-    sets = [np.frombuffer(s, np.int64) for s in table["set"].to_pylist()]
-    centres = [s for r, s in zip(reps, sets, strict=True) if r == pivot]
-    found = sorted({r for r, s in zip(reps, sets, strict=True) if r != pivot and any(linked(c, s, percent) for c in centres)})
-    return pa.table({"a": pa.array([pivot] * len(found), pa.int64()), "b": pa.array(found, pa.int64())}) if found else None
-
-
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many of their ``WIDE`` least values each two sets have in common."""
-    heads = [s[:WIDE] for s in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(h) for h in heads])
-    _, column, times = np.unique(np.concatenate(heads), return_inverse=True, return_counts=True)
-    keep = times[column] > 1
-    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
-        now = (column >= at) & (column < at + 4096)
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[owner[now], column[now] - at] = 1
-        out += m @ m.T
-    return out
-
-
-def cell_links(table: pa.Table, percent: int) -> pa.Table | None:
-    """Links that join different components of the members of a cell; enough of them to span what they join."""
-    reps, comps, main = table["rep"].to_pylist(), table["comp"].to_pylist(), np.array(table["main"].to_pylist(), bool)
-    sets = [np.frombuffer(s, np.int64) for s in table["set"].to_pylist()]
-    n = np.array([len(s) for s in sets])
-    small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
-    p = percent / 100
-    least = np.where(large <= WIDE, p * large, (p - MARGIN * math.sqrt(p * (1 - p) / WIDE)) * WIDE)
-    maybe = (100 * small >= percent * large) & (shared_counts(sets) >= least - 1e-6) & (main[:, None] | main)
-    maybe &= np.not_equal.outer(comps, comps)
-    groups, out = Groups(comps), []
-    for i, j in zip(*np.nonzero(np.triu(maybe, 1)), strict=True):
-        if groups.root(i) != groups.root(j) and linked(sets[i], sets[j], percent):
-            groups.join(i, j)
-            out.append((reps[i], reps[j]))
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())}) if out else None
+def pair_table(table: pa.Table, linked_with) -> pa.Table:
+    """The members of a cell that are linked with its pivot; an id may have several texts, of which one suffices."""
+    pivot = table["pivot"][0].as_py()
+    rows = [(r, np.frombuffer(v, np.int64)) for r, v in zip(table["rep"].to_pylist(), table["values"].to_pylist(), strict=True)]
+    centres = [v for r, v in rows if r == pivot]
+    found = sorted({r for r, v in rows if r != pivot and any(linked_with(c, v) for c in centres)})
+    return pa.table({"a": pa.array([pivot] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+
+def likely(a: np.ndarray, b: np.ndarray, percent: int, least: int) -> bool:
+    """Whether two sketches' union lets a link be; it decides where the union fits into a sketch."""
+    both = np.concatenate([a, b])
+    both.sort()
+    twice = np.flatnonzero(both[1:] == both[:-1])
+    union = len(both) - len(twice)
+    if union <= SKETCH:
+        return 100 * len(twice) >= percent * union
+    return np.count_nonzero(twice - np.arange(len(twice)) < SKETCH) >= least  # with as many values of the union before them
+
+
+def by_cells(pairs: DataFrame, values: DataFrame, linked_with) -> DataFrame:
+    """Pairs (a, b) whose values are ``linked_with`` one another, by cells of one a, about ``CELL`` members and ``CELL_VALUES`` values."""
+    pairs = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
+    sizes = values.groupBy("rep").agg(F.max(F.octet_length("values") / 8).alias("n")).withColumnRenamed("rep", "pivot")
+    counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).join(sizes, "pivot")
+    cells = checkpoint(counted.select("pivot", "size", F.ceil(F.greatest(F.col("size") / CELL, F.col("size") * F.col("n") / CELL_VALUES)).alias("cells")))
+    dealt = join_sized(pairs, cells, ["pivot"], "size").select("pivot", F.pmod(F.xxhash64("rep"), "cells").alias("cell"), "rep")
+    centres = cells.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)).alias("cell"), F.col("pivot").alias("rep"))
+    uses = checkpoint(dealt.unionByName(centres))
+    times = checkpoint(uses.groupBy("rep").agg(F.count(F.lit(1)).alias("uses")).join(values, "rep"))
+    return map_groups(join_sized(uses, times, ["rep"], "uses"), ["pivot", "cell"], lambda t: pair_table(t, linked_with), "a bigint, b bigint")
+
+
+def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that are linked: the union's sketch filters, full sets decide."""
+    least = least_common(percent)
+    passed = checkpoint(by_cells(pairs, sketches, lambda a, b: likely(a, b, percent, least)))
+    return checkpoint(by_cells(passed, sets, lambda a, b: linked(a, b, percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -151,65 +145,115 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = checkpoint(sketches(texts, words))
     classes = checkpoint(rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     members = checkpoint(pivot_members(classes, percent))
-    sets = checkpoint(full_sets(texts, members.select(F.col("rep").alias("doc_id")).distinct(), words))
-    links = checkpoint(first_links(members, sets, percent))
+    reps = checkpoint(members.select("rep").unionByName(members.select(F.col("pivot").alias("rep"))).distinct())
+    sets = checkpoint(full_sets(texts, reps.withColumnRenamed("rep", "doc_id"), words))
+    heads = checkpoint(as_bytes(only_ids(classes, reps, keys=["rep"])))
+    links = confirmed(members.filter(sized("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")), heads, sets, percent)
     parts = components(links)
-    more = checkpoint(last_links(members, parts, sets, percent))
-    if not more.isEmpty():
-        parts = components(links.unionByName(more))
+    apart = checkpoint(loose_members(members, links, parts))
+    if not apart.isEmpty():
+        more = confirmed(full_pairs(apart, sets, percent), heads, sets, percent)
+        if not more.isEmpty():
+            parts = components(links.unionByName(more))
     named = classes.select("digest", "rep", "copies").join(parts, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
     named = named.filter("copies > 1 or component <> rep").select("digest", "component")
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def pivot_members(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (pivot, pivot_n, rep, n): the members of the lists of each pivot, itself included."""
-    able = classes.filter("rep is not null").filter(F.col("n") * (100 - percent) >= percent)  # smaller sets equal what they are near to
-    ring = F.when(F.col("n") <= SKETCH, F.concat("sketch", F.slice("sketch", 1, RUN - 1))).otherwise(F.col("sketch"))
-    runs = able.select("rep", "n", ring.alias("ring")).select("rep", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ring") - RUN + 1), lambda i: F.xxhash64(*(F.element_at("ring", i + j) for j in range(RUN)))))).alias("key"))
-    sizes = runs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    lists = checkpoint(runs.join(sizes, "key"))
-    weights = lists.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("weight"))
-    weighed = lists.join(weights, "rep")
-    tops = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pivot_n"))
-    return weighed.join(tops, "key").select("pivot", "pivot_n", "rep", "n").distinct()
-
-
-def first_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of pivots with their members, by cells of about ``CELL`` members."""
-    near = members.filter("rep <> pivot").filter(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-    cells = checkpoint(near.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / CELL).alias("cells")))
-    dealt = join_sized(near, cells, ["pivot"], "size").select("pivot", F.pmod(F.xxhash64("rep"), "cells").alias("cell"), "rep")
-    centres = cells.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)).alias("cell"), F.col("pivot").alias("rep"))
-    return map_groups(dealt.unionByName(centres).join(sets, "rep"), ["pivot", "cell"], lambda t: star_links(t, percent), "a bigint, b bigint")
+def as_bytes(sketches: DataFrame) -> DataFrame:
+    """(rep, values) of (rep, sketch): the values as bytes, as full sets are."""
 
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["rep", "values"])
 
-def last_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that meet in the lists of one pivot.
+    return sketches.select("rep", "sketch").mapInArrow(run, "rep bigint, values binary")
 
-    A group is a pivot and a size bucket; a set is in its own bucket's group (``main``) and in the next one's, since linked sets are at
-    most one bucket apart. Members outside the pivot's component are ``loose``; of larger groups blocks of loose ones meet one another
-    and blocks of the others, which are in one component already.
-    """
-    with_parts = lambda df, c, to: df.join(parts.select(F.col("node").alias(c), F.col("component").alias("found")), c, "left").withColumn(to, F.coalesce("found", c)).drop("found")
-    placed = with_parts(members.select("pivot", "rep", "n"), "rep", "comp")
-    apart = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    apart = checkpoint(with_parts(apart.select("pivot", "size"), "pivot", "centre"))
-    bucket = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
-    both = join_sized(placed, apart, ["pivot"], "size").withColumn("loose", F.col("comp") != F.col("centre"))
-    both = both.select("pivot", "rep", "comp", "loose", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("main")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("main")))).alias("in")).select("pivot", "in.bucket", "in.main", "rep", "comp", "loose")
-    groups = both.groupBy("pivot", "bucket").agg(F.count_if("loose").alias("n_loose"), F.count_if(~F.col("loose")).alias("n_tied"), F.max("main").alias("any_main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    blocks = lambda n: F.ceil(F.col(n) / CELL)
-    groups = groups.filter("any_main and low <> high").select("pivot", "bucket", (F.col("n_loose") + F.col("n_tied")).alias("size"), F.when(F.col("n_loose") + F.col("n_tied") <= CELL, 0).otherwise(blocks("n_loose")).alias("rows"), blocks("n_tied").alias("columns"))
-    dealt = join_sized(both, checkpoint(groups), ["pivot", "bucket"], "size")
-    zero, at = F.lit(0).cast("bigint"), F.pmod(F.xxhash64("rep"), F.greatest(F.when(F.col("loose"), F.col("rows")).otherwise(F.col("columns")), F.lit(1).cast("bigint")))
-    one = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"))
-    upto = lambda n: F.when(F.col(n) > 0, F.sequence(zero, F.col(n) - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
-    meets = (
-        F.when(F.col("rows") == 0, F.array(one(0, zero, zero)))
-        .when(F.col("loose"), F.concat(F.transform(upto("rows"), lambda j: one(1, F.least(at, j), F.greatest(at, j))), F.transform(upto("columns"), lambda j: one(2, at, j))))
-        .otherwise(F.transform(upto("rows"), lambda i: one(2, i, at)))
-    )
-    cells = dealt.select("pivot", "bucket", "main", "rep", "comp", F.explode(meets).alias("cell")).select("pivot", "bucket", "cell.kind", "cell.i", "cell.j", "main", "rep", "comp")
-    return map_groups(cells.join(sets, "rep"), ["pivot", "bucket", "kind", "i", "j"], lambda t: cell_links(t, percent), "a bigint, b bigint")
+
+def sized(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def with_lengths(entries: DataFrame) -> DataFrame:
+    """Entries (value, ...) of lists of more than one, with the list's ``length``."""
+    lengths = checkpoint(entries.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("length", F.col("size")))
+    return join_sized(entries, lengths, ["value"], "size")
+
+
+def rarest(entries: DataFrame, keys: list[str], all_: Column, kept: Column) -> DataFrame:
+    """``keys``, weight, place and value: of each set's ``all_`` values, by length of their lists, the first ``kept`` as far as they are
+    in lists of several; ``entries`` are those. A value that no other set has comes first."""
+    shared = entries.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("length", "value"))).alias("shared"))
+    shared = shared.withColumn("alone", all_ - F.size("shared")).withColumn("kept", kept)
+    shared = shared.withColumn("rare", F.expr("slice(shared, 1, greatest(0, cast(kept - alone as int)))"))
+    weight = F.aggregate("rare", F.lit(0).cast("bigint"), lambda a, x: a + x["length"] - 1)
+    return shared.select(*keys, "alone", weight.alias("weight"), F.posexplode("rare.value").alias("place", "value")).withColumn("place", F.col("alone") + F.col("place"))
+
+
+def pivot_members(classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (pivot, pivot_n, rep, n): the members of the lists of each pivot, but for itself."""
+    able = classes.filter("rep is not null").filter(F.col("n") * (100 - percent) >= percent)  # smaller sets equal what they are near to
+    need = F.when(F.col("n") * 100 <= SKETCH * percent, F.ceil(F.col("n") * percent / 100)).otherwise(least_common(percent))
+    entries = able.select("rep", "n", F.xxhash64("digest").alias("mark"), F.explode("sketch").alias("value"))
+    held = F.least(F.col("n"), F.lit(SKETCH))
+    lists = checkpoint(rarest(with_lengths(entries), ["rep", "n", "mark"], held, held - need + 1).select("value", "rep", "n", "weight"))
+    tops = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("top"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    tops = checkpoint(tops.select("value", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pivot_n"), "size"))
+    return join_sized(lists, tops, ["value"], "size").filter("pivot <> rep").select("pivot", "pivot_n", "rep", "n").distinct()
+
+
+def loose_members(members: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rep, comp) of pivots and members of those pivots that have members in another component."""
+    linked_pairs = links.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
+    left = members.select("pivot", "rep").join(linked_pairs, ["pivot", "rep"], "left_anti")
+    placed = checkpoint(parts.select("node", "component"))
+    found = lambda df, c, to: df.join(placed.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+    pivots = checkpoint(found(found(left, "rep", "comp"), "pivot", "centre").filter("comp <> centre").groupBy("pivot").agg(F.count(F.lit(1)).alias("size")))
+    their = join_sized(members.select("pivot", "rep"), pivots, ["pivot"], "size").select("rep").unionByName(pivots.select(F.col("pivot").alias("rep"))).distinct()
+    return found(their, "rep", "comp")
+
+
+def full_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of the rarest values of either's full set, as far as sizes and places allow."""
+
+    def entries_of(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):  # a set at a time
+                row = batch.slice(k, 1)
+                v = np.frombuffer(row.column(3)[0].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(v), row.column(c)[0].as_py())) for c in range(3)), pa.array(np.full(len(v), len(v))), pa.array(v)], names=["rep", "comp", "mark", "n", "value"])
+
+    held = sets.join(apart, "rep").select("rep", "comp", F.xxhash64("values").alias("mark"), "values")
+    entries = held.mapInArrow(entries_of, "rep bigint, comp bigint, mark bigint, n bigint, value bigint")
+    kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    lists = checkpoint(rarest(with_lengths(entries), ["rep", "comp", "mark", "n"], F.col("n"), kept).select("value", "rep", "comp", "n", "place"))
+    mixed = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    mixed = checkpoint(mixed.select("value", "size", F.ceil(F.col("size") / CELL).alias("blocks")))
+    own = F.pmod(F.xxhash64("rep"), "blocks")
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
+    dealt = join_sized(lists, mixed, ["value"], "size").select("value", "rep", "comp", "n", "place", own.alias("own"), F.explode(meets).alias("cell")).select("value", "cell.i", "cell.j", "own", "rep", "comp", "n", "place")
+    return checkpoint(map_groups(dealt, ["value", "i", "j"], lambda t: cell_pairs(t, percent), "a bigint, b bigint").distinct())
+
+
+def cell_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a cell of a list that sizes, components and places allow. What follows a list's value in both orders bounds what they
+    share, if it is their first common one; of a linked pair that one passes."""
+    own, rep, comp, n, place = (table[c].to_numpy() for c in ("own", "rep", "comp", "n", "place"))
+    one = table["i"][0].as_py()
+    rows = np.flatnonzero(own == one)
+    columns = rows if one == table["j"][0].as_py() else np.flatnonzero(own != one)
+    out = []
+    for r in rows.tolist():
+        need = -(-percent * (n[r] + n[columns]) // (100 + percent))
+        fits = (comp[columns] != comp[r]) & (100 * np.minimum(n[columns], n[r]) >= percent * np.maximum(n[columns], n[r])) & (np.minimum(n[r] - place[r], n[columns] - place[columns]) >= need)
+        other = rep[columns[fits]]
+        out.append(np.stack([np.minimum(other, rep[r]), np.maximum(other, rep[r])]))
+    a, b = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
