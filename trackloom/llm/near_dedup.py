@@ -2,12 +2,14 @@
 
 1. Each text gives the hashes of its distinct shingles; texts of equal sets are one class, so copies are never compared. A class's
    sketch is the ``SKETCH`` least hashes.
-2. Inverted lists of the retained values. Of two sets with a Jaccard of 0.8 or more, the sketch of the union, which both sketches give,
-   holds at least ``COMMON`` values of both but for a probability below 3e-7; so a class needs to be in the lists of its ``SKETCH - COMMON + 1``
-   rarest values alone, by list length. Where a set fits into the sketch and so do all that may be linked with it, the bound is exact.
+2. Inverted lists of the retained values, three neighbours of a sketch together (sets that fit into the sketch are taken as a ring): at
+   two words a shingle, four documents of five share a rare single value with another that they are not linked to. Of two sets with a
+   Jaccard of 0.8 or more, each value of the union's sketch is in both with probability 0.8 or more, so they miss having a common run in 40
+   values with a probability below 1e-6; sets that fit into a sketch always have one.
 3. In each list the member with most neighbours is the pivot, and all members are paired with it: as edited copies lie round their
    original, that links nearly all that is to be linked, with as many pairs as list entries.
-4. Pairs are confirmed: from both sketches the sketch of the union estimates the Jaccard, and those that pass are decided on full sets.
+4. Pairs are confirmed: of what both sketches give of the union's sketch, enough values must be in both (a linked pair fails with a
+   probability below 3e-7); those that pass are decided on full sets.
 5. Members of one pivot that are in different components after that are looked up again, now in lists of all their values: two linked sets must
    share one of the rarest fifth of either's values, so texts that share a common passage and have a fifth of their own never meet.
    Only pairs of different components, whose sizes and places in the lists allow a link, are confirmed as before; no list is cut or
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 from trackloom.llm.common import checkpoint, join_sized, map_groups, map_texts, only_ids, remembered, texts_of
 from trackloom.llm.graph import components
 
-#: Values of a sketch; members and values of a cell.
-SKETCH, CELL, CELL_VALUES = 40, 512, 4 << 20
+#: Values of a sketch and of a run; members and values of a cell.
+SKETCH, RUN, CELL, CELL_VALUES = 40, 3, 512, 4 << 20
 #: Greatest probability that a pair at the threshold is passed over.
 MISS = 3e-7
 
@@ -183,22 +185,23 @@ def with_lengths(entries: DataFrame) -> DataFrame:
 
 
 def rarest(entries: DataFrame, keys: list[str], all_: Column, kept: Column) -> DataFrame:
-    """``keys``, weight, place and value: of each set's ``all_`` values, by length of their lists, the first ``kept`` as far as they are
+    """``keys``, place and value: of each set's ``all_`` values, by length of their lists, the first ``kept`` as far as they are
     in lists of several; ``entries`` are those. A value that no other set has comes first."""
     shared = entries.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("length", "value"))).alias("shared"))
     shared = shared.withColumn("alone", all_ - F.size("shared")).withColumn("kept", kept)
     shared = shared.withColumn("rare", F.expr("slice(shared, 1, greatest(0, cast(kept - alone as int)))"))
-    weight = F.aggregate("rare", F.lit(0).cast("bigint"), lambda a, x: a + x["length"] - 1)
-    return shared.select(*keys, "alone", weight.alias("weight"), F.posexplode("rare.value").alias("place", "value")).withColumn("place", F.col("alone") + F.col("place"))
+    return shared.select(*keys, "alone", F.posexplode("rare.value").alias("place", "value")).withColumn("place", F.col("alone") + F.col("place"))
 
 
 def pivot_members(classes: DataFrame, percent: int) -> DataFrame:
     """Distinct (pivot, pivot_n, rep, n): the members of the lists of each pivot, but for itself."""
     able = classes.filter("rep is not null").filter(F.col("n") * (100 - percent) >= percent)  # smaller sets equal what they are near to
-    need = F.when(F.col("n") * 100 <= SKETCH * percent, F.ceil(F.col("n") * percent / 100)).otherwise(least_common(percent))
-    entries = able.select("rep", "n", F.xxhash64("digest").alias("mark"), F.explode("sketch").alias("value"))
-    held = F.least(F.col("n"), F.lit(SKETCH))
-    lists = checkpoint(rarest(with_lengths(entries), ["rep", "n", "mark"], held, held - need + 1).select("value", "rep", "n", "weight"))
+    ring = F.when(F.col("n") <= SKETCH, F.concat("sketch", F.slice("sketch", 1, RUN - 1))).otherwise(F.col("sketch"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("ring") - RUN + 1), lambda i: F.xxhash64(*(F.element_at("ring", i + j) for j in range(RUN))))
+    entries = able.select("rep", "n", ring.alias("ring")).select("rep", "n", F.explode(F.array_distinct(runs)).alias("value"))
+    lists = checkpoint(with_lengths(entries))
+    weights = lists.groupBy("rep").agg(F.sum(F.col("length") - 1).alias("weight"))
+    lists = lists.join(weights, "rep").select("value", "rep", "n", "weight")
     tops = lists.groupBy("value").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("top"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     tops = checkpoint(tops.select("value", (-F.col("top.minus")).alias("pivot"), F.col("top.n").alias("pivot_n"), "size"))
     return join_sized(lists, tops, ["value"], "size").filter("pivot <> rep").select("pivot", "pivot_n", "rep", "n").distinct()
