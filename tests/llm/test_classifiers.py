@@ -43,6 +43,62 @@ def test_awkward_rows(spark, operator):
     assert operator(frame(spark, []), labels).collect() == []
 
 
+def test_labels_of_other_rows_are_not_read(spark):
+    docs = frame(spark, [(k, f"some words {'bad' * (k % 3 == 0)} number {k}") for k in range(300)])
+    ones = [(k, 1) for k in range(0, 300, 6)]
+    plain, more = (sorted(rows(toxicity.toxicity(docs, spark.createDataFrame(x, "doc_id long, toxic int")), "doc_id", "score")) for x in (ones, ones + [(k, 0) for k in range(1, 300, 3)]))
+    assert plain == more
+
+
+def plain_risk(pos, unl, prior):
+    """From the definition, value by value."""
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    up = sum(sig(-g) for g in pos) / len(pos)
+    as_other = sum(sig(g) for g in pos) / len(pos)
+    return prior * up, sum(sig(g) for g in unl) / len(unl) - prior * as_other
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.9])
+def test_risk_and_slopes_against_the_definition(prior):
+    r = np.random.default_rng(3)
+    for shift in (-2.0, 0.0, 2.0):
+        pos, unl = r.normal(shift, 1, 7), r.normal(0, 1, 9)
+        parts = pu_learning.risk(pos, unl, prior)
+        assert np.allclose(parts, plain_risk(pos.tolist(), unl.tolist(), prior))
+        rp, ru = pu_learning.slopes(pos, unl, prior)
+        # the descent follows the whole risk, or climbs the second part where that is below zero
+        value = (lambda a, b: sum(plain_risk(a, b, prior))) if parts[1] >= 0 else (lambda a, b: -plain_risk(a, b, prior)[1])
+        for k in range(len(pos)):
+            up, down = pos.copy(), pos.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            assert abs((value(up, unl) - value(down, unl)) / 2e-5 - rp[k]) < 1e-7
+        for k in range(len(unl)):
+            up, down = unl.copy(), unl.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            assert abs((value(pos, up) - value(pos, down)) / 2e-5 - ru[k]) < 1e-7
+    assert pu_learning.risk(np.full(5, 3.0), np.full(5, -3.0), 0.9)[1] < 0
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.4, 0.85])
+def test_prior_is_found_from_both_samples(prior):
+    r = np.random.default_rng(int(prior * 100))
+    pos, other = r.normal(2, 1, 2000), r.normal(-2, 1, 6000)
+    unl = np.concatenate([r.normal(2, 1, int(6000 * prior)), other[: 6000 - int(6000 * prior)]])
+    assert abs(pu_learning.estimated_prior(pos, unl, pu_learning.Settings()) - prior) < 0.04
+    assert pu_learning.estimated_prior(pos[:3], unl, pu_learning.Settings()) == 0.5
+
+
+def test_words_are_counted_in_every_document(spark):
+    docs = spark.createDataFrame([(k, "bad one" if k % 10 == 0 else f"good {k}") for k in range(500)], "doc_id long, text string")
+    sample = docs.selectExpr("doc_id", "text", "explode(if(doc_id % 10 = 0, array(1, 0), array(0))) as role")
+    counts = {(x.word, x.role): x.n for x in pu_learning.level_counts(sample, lambda: pu_learning.features).collect()}
+    bad = 4 * pu_learning.features("bad")[0]
+    assert counts[bad, 1] == counts[bad, 0] == 50
+    assert bad in pu_learning.chosen_words(sample, docs, 500, pu_learning.Settings())
+
+
 def test_risk_never_rewards_memorised_positives():
     """Where unlabelled text equals the positives, the score can't fall far from the prior's side for either."""
     r = np.random.default_rng(1)
@@ -50,12 +106,3 @@ def test_risk_never_rewards_memorised_positives():
     role = np.repeat([1, 0], 300)
     model = pu_learning.fit_rows(x, [[]] * 600, [], role, 0.5, pu_learning.Settings(words=0))
     assert all(np.isfinite(b).all() for b in model.bins)
-
-
-def test_scaling_follows_the_labels():
-    r = np.random.default_rng(2)
-    g = r.normal(size=4000)
-    truth = r.random(4000) < 1 / (1 + np.exp(-(2 * g - 1)))
-    a, b = pu_learning.scaling(g, truth)
-    assert abs(a - 2) < 0.3 and abs(b + 1) < 0.2
-    assert pu_learning.scaling(g, np.ones(4000, bool)) == (1.0, 0.0)
