@@ -111,15 +111,18 @@ def only_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", most: int =
     return df.join(F.broadcast(ids.select(*keys)) if few else ids.select(*keys).hint("merge"), keys, how)
 
 
-def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str, large: int = 10_000) -> DataFrame:
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str, large: int = 10_000, harmless: int = 1_000) -> DataFrame:
     """Inner join with a table of unique keys that knows, in ``size``, how many rows of ``left`` each key has.
 
-    Keys with more than one in ``large`` of the rows, of which there are fewer than ``large``, are broadcast; the others are shuffled, and
-    none of them fills a task. ``right`` is read several times, so it should be a checkpoint.
+    Keys with more than one in ``large`` of the rows, of which there are fewer than ``large``, and more than ``harmless``, are broadcast; the
+    others are shuffled, and none of them fills a task. ``right`` is read several times, so it should be a checkpoint.
     """
-    total = right.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    few = F.broadcast(right.filter(F.col(size) > total / large))
-    rest = left.join(few.select(*keys), keys, "left_anti").join(right.filter(F.col(size) <= total / large), keys)
+    total, top = right.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    most = max(total / large, harmless)
+    if top <= most:
+        return left.join(right, keys).drop(size)
+    few = F.broadcast(right.filter(F.col(size) > most))
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.filter(F.col(size) <= most), keys)
     return left.join(few, keys).unionByName(rest).drop(size)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import checkpoint, join_sized
 
+#: Edges that are few enough for one node to have them all.
+FEW = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): for each node of the edges (a, b) other than its component's smallest, that smallest node.
@@ -22,8 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = state
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"))
-        large = join_sized(both, least, ["u"], "size").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        met = join_sized(both, checkpoint(least), ["u"], "size") if state[0] > FEW else both.join(least, "u")
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
         pairs = checkpoint(small.filter("u <> v").distinct())
