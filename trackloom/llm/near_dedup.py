@@ -32,6 +32,8 @@ from trackloom.llm.graph import components
 
 #: Values of a sketch and of a run; members and values of a cell.
 SKETCH, RUN, CELL, CELL_VALUES = 40, 3, 512, 4 << 20
+#: Uses of one set that a task may serve.
+OFTEN = 10_000
 #: Greatest probability that a pair at the threshold is passed over.
 MISS = 3e-7
 
@@ -89,18 +91,31 @@ def full_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return map_texts(only_ids(texts, ids), lambda: lambda batch: {"values": [shingle_set(t, words).tobytes() for t in batch]}, {"values": "binary"}).withColumnRenamed("doc_id", "rep")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+#: What full sets say of a pair: linked, near (as near as two sets are that are linked with a third), or neither.
+LINKED, NEAR, FAR = 2, 1, 0
+
+
+def near_percent(percent: int) -> int:
+    """The Jaccard distance is a metric: two sets linked with a third are at most twice the distance apart."""
+    return max(0, 2 * percent - 100)
+
+
+def grade(a: np.ndarray, b: np.ndarray, percent: int) -> int:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+    union = len(a) + len(b) - both
+    return LINKED if 100 * both >= percent * union else NEAR if 100 * both >= near_percent(percent) * union else FAR
 
 
-def pair_table(table: pa.Table, linked_with) -> pa.Table:
-    """The members of a cell that are linked with its pivot; an id may have several texts, of which one suffices."""
-    pivot = table["pivot"][0].as_py()
+def pair_table(table: pa.Table, graded) -> pa.Table:
+    """The members of a cell that are graded above ``FAR`` with its pivot; an id may have several texts, of which the best counts."""
+    pivot, best = table["pivot"][0].as_py(), {}
     rows = [(r, np.frombuffer(v, np.int64)) for r, v in zip(table["rep"].to_pylist(), table["values"].to_pylist(), strict=True)]
     centres = [v for r, v in rows if r == pivot]
-    found = sorted({r for r, v in rows if r != pivot and any(linked_with(c, v) for c in centres)})
-    return pa.table({"a": pa.array([pivot] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+    for r, v in rows:
+        if r != pivot:
+            best[r] = max(best.get(r, FAR), *(graded(c, v) for c in centres))
+    found = sorted((r, g) for r, g in best.items() if g > FAR)
+    return pa.table({"a": pa.array([pivot] * len(found), pa.int64()), "b": pa.array([r for r, _ in found], pa.int64()), "grade": pa.array([g for _, g in found], pa.int32())})
 
 
 def likely(a: np.ndarray, b: np.ndarray, percent: int, least: int) -> bool:
@@ -114,8 +129,8 @@ def likely(a: np.ndarray, b: np.ndarray, percent: int, least: int) -> bool:
     return np.count_nonzero(twice - np.arange(len(twice)) < SKETCH) >= least  # with as many values of the union before them
 
 
-def by_cells(pairs: DataFrame, values: DataFrame, linked_with) -> DataFrame:
-    """Pairs (a, b) whose values are ``linked_with`` one another, by cells of one a, about ``CELL`` members and ``CELL_VALUES`` values."""
+def by_cells(pairs: DataFrame, values: DataFrame, graded) -> DataFrame:
+    """Pairs (a, b, grade) whose values are ``graded`` above ``FAR``, by cells of one a, about ``CELL`` members and ``CELL_VALUES`` values."""
     pairs = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
     sizes = values.groupBy("rep").agg(F.max(F.octet_length("values") / 8).alias("n")).withColumnRenamed("rep", "pivot")
     counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).join(sizes, "pivot")
@@ -123,15 +138,18 @@ def by_cells(pairs: DataFrame, values: DataFrame, linked_with) -> DataFrame:
     dealt = join_sized(pairs, cells, ["pivot"], "size").select("pivot", F.pmod(F.xxhash64("rep"), "cells").alias("cell"), "rep")
     centres = cells.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cells") - 1)).alias("cell"), F.col("pivot").alias("rep"))
     uses = checkpoint(dealt.unionByName(centres))
-    times = checkpoint(uses.groupBy("rep").agg(F.count(F.lit(1)).alias("uses")).join(values, "rep"))
-    return map_groups(join_sized(uses, times, ["rep"], "uses"), ["pivot", "cell"], lambda t: pair_table(t, linked_with), "a bigint, b bigint")
+    times = uses.groupBy("rep").agg(F.count(F.lit(1)).alias("uses"))
+    often = (times.agg(F.max("uses")).first()[0] or 0) > OFTEN
+    used = join_sized(uses, checkpoint(times.join(values, "rep")), ["rep"], "uses") if often else uses.join(values, "rep")
+    return map_groups(used, ["pivot", "cell"], lambda t: pair_table(t, graded), "a bigint, b bigint, grade int")
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) that are linked: the union's sketch filters, full sets decide."""
-    least = least_common(percent)
-    passed = checkpoint(by_cells(pairs, sketches, lambda a, b: likely(a, b, percent, least)))
-    return checkpoint(by_cells(passed, sets, lambda a, b: linked(a, b, percent)))
+def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, sought: int = LINKED) -> DataFrame:
+    """(a, b, grade) of those pairs (a, b) that are of the grade ``sought`` or a better one: the union's sketch filters, full sets decide."""
+    border = percent if sought == LINKED else near_percent(percent)
+    least = least_common(border)
+    passed = checkpoint(by_cells(pairs, sketches, lambda a, b: int(likely(a, b, border, least))))
+    return checkpoint(by_cells(passed, sets, lambda a, b: grade(a, b, percent)).filter(F.col("grade") >= sought))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -150,9 +168,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = checkpoint(members.select("rep").unionByName(members.select(F.col("pivot").alias("rep"))).distinct())
     sets = checkpoint(full_sets(texts, reps.withColumnRenamed("rep", "doc_id"), words))
     heads = checkpoint(as_bytes(only_ids(classes, reps, keys=["rep"])))
-    links = confirmed(members.filter(sized("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")), heads, sets, percent)
+    graded = confirmed(members.filter(sized("n", "pivot_n", near_percent(percent))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")), heads, sets, percent, NEAR)
+    links = graded.filter(F.col("grade") == LINKED)
     parts = components(links)
-    apart = checkpoint(loose_members(members, links, parts))
+    apart = checkpoint(loose_members(members, graded, parts, percent))
     if not apart.isEmpty():
         more = confirmed(full_pairs(apart, sets, percent), heads, sets, percent)
         if not more.isEmpty():
@@ -184,15 +203,6 @@ def with_lengths(entries: DataFrame) -> DataFrame:
     return join_sized(entries, lengths, ["value"], "size")
 
 
-def rarest(entries: DataFrame, keys: list[str], all_: Column, kept: Column) -> DataFrame:
-    """``keys``, place and value: of each set's ``all_`` values, by length of their lists, the first ``kept`` as far as they are
-    in lists of several; ``entries`` are those. A value that no other set has comes first."""
-    shared = entries.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("length", "value"))).alias("shared"))
-    shared = shared.withColumn("alone", all_ - F.size("shared")).withColumn("kept", kept)
-    shared = shared.withColumn("rare", F.expr("slice(shared, 1, greatest(0, cast(kept - alone as int)))"))
-    return shared.select(*keys, "alone", F.posexplode("rare.value").alias("place", "value")).withColumn("place", F.col("alone") + F.col("place"))
-
-
 def pivot_members(classes: DataFrame, percent: int) -> DataFrame:
     """Distinct (pivot, pivot_n, rep, n): the members of the lists of each pivot, but for itself."""
     able = classes.filter("rep is not null").filter(F.col("n") * (100 - percent) >= percent)  # smaller sets equal what they are near to
@@ -207,15 +217,28 @@ def pivot_members(classes: DataFrame, percent: int) -> DataFrame:
     return join_sized(lists, tops, ["value"], "size").filter("pivot <> rep").select("pivot", "pivot_n", "rep", "n").distinct()
 
 
-def loose_members(members: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:
-    """(rep, comp) of pivots and members of those pivots that have members in another component."""
-    linked_pairs = links.select(F.col("a").alias("pivot"), F.col("b").alias("rep"))
-    left = members.select("pivot", "rep").join(linked_pairs, ["pivot", "rep"], "left_anti")
+def loose_members(members: DataFrame, graded: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(rep, comp) of pivots and members that may be linked with a member of the same pivot in another component.
+
+    Of two members one at least is not linked with the pivot itself; if the other is, the first is ``NEAR`` the pivot. Sizes go by buckets,
+    a set to its own and the next one, as linked sets are at most one bucket apart.
+    """
     placed = checkpoint(parts.select("node", "component"))
     found = lambda df, c, to: df.join(placed.select(F.col("node").alias(c), F.col("component").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
-    pivots = checkpoint(found(found(left, "rep", "comp"), "pivot", "centre").filter("comp <> centre").groupBy("pivot").agg(F.count(F.lit(1)).alias("size")))
-    their = join_sized(members.select("pivot", "rep"), pivots, ["pivot"], "size").select("rep").unionByName(pivots.select(F.col("pivot").alias("rep"))).distinct()
-    return found(their, "rep", "comp")
+    grades = graded.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), "grade")
+    known = checkpoint(members.join(grades, ["pivot", "rep"], "left").withColumn("grade", F.coalesce("grade", F.lit(FAR))))
+    left = found(found(known.filter(F.col("grade") < LINKED).select("pivot", "rep"), "rep", "comp"), "pivot", "centre")
+    pivots = checkpoint(left.filter("comp <> centre").groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).join(known.groupBy("pivot").agg(F.count(F.lit(1)).alias("of")), "pivot").select("pivot", F.col("of").alias("size")))
+    own = known.select("pivot", F.col("pivot").alias("rep"), F.col("pivot_n").alias("n"), F.lit(LINKED).alias("grade")).distinct()
+    their = join_sized(known.select("pivot", "rep", "n", "grade").unionByName(own), pivots, ["pivot"], "size")
+    rows = checkpoint(found(found(their, "rep", "comp"), "pivot", "centre"))
+    bucket = F.floor(F.log("n") / math.log(100 / percent) + 1e-9)
+    free, near = F.col("grade") < LINKED, (F.col("grade") == NEAR) & (F.col("comp") != F.col("centre"))
+    groups = rows.select("pivot", "rep", "comp", free.alias("free"), near.alias("near"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    of_free = F.when(F.col("free"), F.col("comp"))
+    mixed = groups.groupBy("pivot", "bucket").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.min(of_free) != F.max(of_free), F.lit(False)).alias("apart"), F.max("near").alias("any_near"))
+    wanted = join_sized(groups, checkpoint(mixed.filter("apart or any_near")), ["pivot", "bucket"], "size")
+    return wanted.filter("(free and (apart or near)) or (not free and any_near)").select("rep", "comp").distinct()
 
 
 def full_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,14 +247,16 @@ def full_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def entries_of(batches):
         for batch in batches:
             for k in range(batch.num_rows):  # a set at a time
-                row = batch.slice(k, 1)
-                v = np.frombuffer(row.column(3)[0].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(v), row.column(c)[0].as_py())) for c in range(3)), pa.array(np.full(len(v), len(v))), pa.array(v)], names=["rep", "comp", "mark", "n", "value"])
-
-    held = sets.join(apart, "rep").select("rep", "comp", F.xxhash64("values").alias("mark"), "values")
-    entries = held.mapInArrow(entries_of, "rep bigint, comp bigint, mark bigint, n bigint, value bigint")
-    kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    lists = checkpoint(rarest(with_lengths(entries), ["rep", "comp", "mark", "n"], F.col("n"), kept).select("value", "rep", "comp", "n", "place"))
+                v = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), batch.column(0)[k].as_py())), pa.array(v)], names=["mark", "value"])
+
+    held = sets.join(apart, "rep").withColumn("mark", F.xxhash64("rep", "values"))  # names one text of an id
+    entries = held.select("mark", "values").mapInArrow(entries_of, "mark bigint, value bigint")
+    known = checkpoint(held.select("mark", "rep", "comp", (F.octet_length("values") / 8).cast("bigint").alias("n")).distinct())
+    shared = with_lengths(entries).groupBy("mark").agg(F.sort_array(F.collect_set(F.struct("length", "value"))).alias("shared")).join(known, "mark")
+    alone, kept = F.col("n") - F.size("shared"), F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = shared.withColumn("alone", alone).withColumn("kept", kept).withColumn("rare", F.expr("slice(shared, 1, greatest(0, cast(kept - alone as int)))"))
+    lists = checkpoint(rare.select("rep", "comp", "n", "alone", F.posexplode("rare.value").alias("at", "value")).select("value", "rep", "comp", "n", (F.col("alone") + F.col("at")).alias("place")))
     mixed = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
     mixed = checkpoint(mixed.select("value", "size", F.ceil(F.col("size") / CELL).alias("blocks")))
     own = F.pmod(F.xxhash64("rep"), "blocks")
