@@ -7,13 +7,14 @@ pass through every stage.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm import decontaminate, exact_dedup, near_dedup, packing, quality
-from trackloom.llm.common import checkpoint, only_ids, read_table
+from trackloom.llm.common import checkpoint, only_ids, read_table, shared_folder
 from trackloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,20 +57,23 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, Jaccard of 0.8 or more."""
+    """One document of each group of near duplicates stays, that of the smallest id: shingles of five words, Jaccard of 0.8 or more. Null,
+    empty and blank texts have no shingles and all stay; of rows alike without an id of their own one stays; other columns pass."""
     rows = told_apart(docs)
     return without(rows, near_dedup.near_duplicates(rows, id_col="row_id").filter("not kept").withColumnRenamed("doc_id", "row_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null and empty texts hold none and stay; texts are read whole; repeated rows
+    share their fate, as they share the text; without items nothing goes."""
     rows = told_apart(docs)
     found = decontaminate.contamination(rows, read_table(spark, sf_dir, "benchmark"), id_col="row_id")
     return without(rows, found.filter(F.size("items") > 0).withColumnRenamed("doc_id", "row_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, in sequences of at most 1024 tokens."""
+    """The pieces of all documents that are left, in sequences of at most 1024 tokens. Null and empty texts are one piece of the end id;
+    texts longer than a sequence are cut into full ones and a rest; repeated rows are packed each; ties go by id, start and checksum."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -96,12 +100,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in a new folder of the session's checkpoint folder."""
-    import tempfile
-    import uuid
-
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{base}/stage-{uuid.uuid4().hex}"
+    """``df`` as Parquet in a new folder of the shared one."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

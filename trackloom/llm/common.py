@@ -39,11 +39,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``. A temporary one stands for it in a local session alone; elsewhere its
+    lack is an error, as executors can't read what another one wrote to its own disk."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder of ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """``df`` computed once and kept in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
