@@ -209,3 +209,43 @@ def test_applied_track_has_no_limit(spark, monkeypatch):
     monkeypatch.setattr(serving_queries, "stored_points", lambda *_: points)
     got = [r.seq for r in serving_queries.applied_track(spark, "").collect()]
     assert got == [i for i in range(6001) if i % 1000 != 1]
+
+
+def test_bodies_and_unknown_things(spark):
+    import json
+
+    trips = spark.createDataFrame([("a", 3, 1_767_254_400_123, 1.5)], "device_id string, start_seq bigint, start_ms bigint, distance_m double")
+    (body,) = serving.as_json(serving.with_times(trips, "start_ms")).first()
+    assert json.loads(body) == {"device_id": "a", "start_seq": 3, "start_ms": "2026-01-01T08:00:00.123Z", "distance_m": 1.5}
+    assert serving.found(trips, "device a").count() == 1
+    with pytest.raises(LookupError):
+        serving.found(trips.limit(0), "device b")
+
+
+def test_live_check(spark):
+    from trackloom.operators import accuracy
+
+    truth = spark.createDataFrame([("a", 1, 100.0, 0.0), ("a", 9, 0.0, 0.0)], "device_id string, start_ms bigint, distance_m double, idle_s double")
+    assert accuracy.passes(truth, truth).first().ok
+    off = truth.withColumn("distance_m", F.col("distance_m") * 1.02)
+    assert not accuracy.passes(truth, off).first().ok and not accuracy.passes(truth, truth.limit(1)).first().ok
+    assert accuracy.sweep(truth, off).first().max == 2.0
+
+
+def test_five_alerts(spark):
+    """What each alert fires on, and for how long it must hold."""
+    quiet = {"p95": 0.1, "saturation": 0.1, "paused": 0, "ratio": 0.0, "unowned_s": 0.0, "up": 1}
+    bad = {"FleetIngestLatencyP95High": {"p95": 3.0}, "FleetIngestConsumerLagging": {"paused": 1}, "FleetIngestErrorRatioHigh": {"ratio": 0.2}, "FleetPartitionsUnowned": {"unowned_s": 31.0}, "FleetIngestTargetDown": {"up": 0}}
+    rows = [(i, ts, *(quiet | (change if ts >= 60 else {})).values()) for i, change in enumerate(bad.values()) for ts in range(0, 600, 30)]
+    got = metrics.every_alert(spark.createDataFrame(rows, "pod int, ts long, p95 double, saturation double, paused int, ratio double, unowned_s double, up int"), "pod").filter("firing").groupBy("alert", "pod").agg(F.min("ts").alias("at")).collect()
+    held = {name: for_s for name, _, for_s, _ in metrics.ALERTS}
+    assert {(r.alert, r.pod): r["at"] for r in got} == {(name, i): 60 + held[name] for i, name in enumerate(bad)}
+
+
+def test_trip_tracks_need_no_join_by_device(spark):
+    points = spark.createDataFrame([("a", i, i * 10, i == 4) for i in range(12)] + [("b", 5, 1, False)], "device_id string, seq bigint, ts_ms bigint, late boolean")
+    t = spark.createDataFrame([("a", 2, 5), ("a", 8, 9)], "device_id string, start_seq bigint, end_seq bigint")
+    tracks = serving.trip_tracks(points, t)
+    assert sorted((r.device_id, r.start_seq, r.seq) for r in tracks.collect()) == [("a", 2, s) for s in (2, 3, 4, 5)] + [("a", 8, 8), ("a", 8, 9)]
+    assert sorted(r.seq for r in serving.trip_tracks(points, t, "false").collect()) == [2, 3, 5, 8, 9]
+    assert "Join" not in tracks._jdf.queryExecution().executedPlan().toString()

@@ -14,12 +14,12 @@ TOLERANCE = 0.01
 def paired(truth: DataFrame, stored: DataFrame) -> DataFrame:
     """Trips of either side of each device paired by order of start; devices whose numbers differ are left out.
 
-    ``truth`` and ``stored`` have device_id, start_ms, distance_m and idle_s.
+    ``truth`` and ``stored`` have device_id, start_ms, distance_m and idle_s. ``error`` is null for a true distance of zero.
     """
     by_start = Window.partitionBy("device_id").orderBy("start_ms")
     every = Window.partitionBy("device_id")
     side = lambda df, p: df.select("device_id", F.row_number().over(by_start).alias("nth"), F.count(F.lit(1)).over(every).alias(f"{p}_count"), *(F.col(c).alias(f"{p}_{c}") for c in ("start_ms", "distance_m", "idle_s")))
-    return side(truth, "true").join(side(stored, "stored"), ["device_id", "nth"]).filter("true_count = stored_count").withColumn("error", (F.col("stored_distance_m") - F.col("true_distance_m")) / F.col("true_distance_m"))
+    return side(truth, "true").join(side(stored, "stored"), ["device_id", "nth"]).filter("true_count = stored_count").withColumn("error", F.when(F.col("true_distance_m") != 0, (F.col("stored_distance_m") - F.col("true_distance_m")) / F.col("true_distance_m")))
 
 
 def count_mismatches(truth: DataFrame, stored: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def percent(x: Column) -> Column:
 def sweep(truth: DataFrame, stored: DataFrame) -> DataFrame:
     """One row of error statistics in percent; ``within`` counts trips strictly inside the tolerance."""
     p = paired(truth, stored).withColumn("off", F.abs("error"))
-    total = lambda c: (F.sum(f"stored_{c}") - F.sum(f"true_{c}")) / F.sum(f"true_{c}")
+    total = lambda c: F.try_divide(F.sum(f"stored_{c}") - F.sum(f"true_{c}"), F.sum(f"true_{c}"))  # noqa: E731  null where there is nothing to compare with
     return p.agg(
         *(percent(quantile_at("off", q)).alias(n) for q, n in ((0.5, "median"), (0.95, "p95"), (0.99, "p99"))), percent(F.max("off")).alias("max"), percent(F.avg("error")).alias("mean_signed"),
         F.count_if(F.col("off") < TOLERANCE).alias("within"), F.count(F.lit(1)).alias("compared"), percent(total("distance_m")).alias("fleet_distance"), percent(total("idle_s")).alias("fleet_idle"),
@@ -51,4 +51,5 @@ def sweep(truth: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def passes(truth: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: whether all trips are there and no distance is off by the tolerance or more."""
     return comparison(truth, stored).select(((F.col("devices_off") == 0) & (F.col("max_distance_error") < TOLERANCE)).alias("ok"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import heapq
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import NamedTuple
 
@@ -122,54 +123,72 @@ class TripFold:
 
 
 class ReorderBuffer:
-    """Puts one device's messages back in sequence order; gives up on a hole by event time, by number buffered, or when flushed."""
+    """Puts one device's messages back in sequence order; gives up on a hole by event time, by number buffered, or when flushed.
+
+    Rules: a message is due if it is the next number, if the newest event time is a window ahead of its own, or if more than
+    ``max_buffered`` wait from it on. The lowest waiting message is released while it is due. What is passed over is remembered as ranges, of
+    which the lowest numbers beyond ``holes`` of them are forgotten.
+    """
 
     def __init__(self, cfg: ReorderConfig = ReorderConfig()):
         self.cfg = cfg
         self.cursor: int | None = None  # the next sequence number expected
         self.newest = 0
-        self.waiting: list[Point] = []  # by seq
-        self.holes: list[int] = []  # passed over, ascending
+        self.held: dict[int, Point] = {}
+        self.order: list[int] = []  # a heap of the held numbers
+        self.passed: list[list[int]] = []  # ascending ranges of numbers, ends included
 
     def offer(self, p: Point) -> tuple[str, list[Point]]:
         """accepted, duplicate or late; and the points that this releases."""
-        if self.cursor is not None and p.seq < self.cursor:
-            at = bisect.bisect_left(self.holes, p.seq)
-            if self.holes[at : at + 1] == [p.seq]:
-                del self.holes[at]
-                return "late", []
-            return "duplicate", []
-        at = bisect.bisect_left(self.waiting, p.seq, key=lambda x: x.seq)
-        if at < len(self.waiting) and self.waiting[at].seq == p.seq:
+        if p.seq in self.held:
             return "duplicate", []
-        self.waiting.insert(at, p)
+        if self.cursor is not None and p.seq < self.cursor:
+            return ("late" if self._found(p.seq) else "duplicate"), []
+        self.held[p.seq] = p
+        heapq.heappush(self.order, p.seq)
         self.newest = max(self.newest, p.ts_ms)
-        return "accepted", self._release(False)
+        return "accepted", list(self._released(self._due))
 
     def flush(self) -> list[Point]:
-        return self._release(True)
-
-    def _release(self, all_: bool) -> list[Point]:
-        n, waiting = 0, self.waiting
-        while n < len(waiting):
-            head = waiting[n]
-            due = self.newest - head.ts_ms >= self.cfg.window_ms or len(waiting) - n > self.cfg.max_buffered
-            if not (all_ or due or head.seq == self.cursor):
-                break
-            if self.cursor is not None:
-                self.holes = (self.holes + list(range(max(self.cursor, head.seq - self.cfg.holes), head.seq)))[-self.cfg.holes :]
-            self.cursor = head.seq + 1
-            n += 1
-        out, self.waiting = waiting[:n], waiting[n:]
-        return out
+        return list(self._released(lambda p: True))
+
+    def _due(self, p: Point) -> bool:
+        return p.seq == self.cursor or self.newest - p.ts_ms >= self.cfg.window_ms or len(self.held) > self.cfg.max_buffered
+
+    def _released(self, due: Callable[[Point], bool]) -> Iterator[Point]:
+        while self.order and due(self.held[self.order[0]]):
+            p = self.held.pop(heapq.heappop(self.order))
+            if self.cursor is not None and p.seq > self.cursor:
+                self._pass_over(self.cursor, p.seq - 1)
+            self.cursor = p.seq + 1
+            yield p
+
+    def _pass_over(self, low: int, high: int) -> None:
+        self.passed.append([low, high])
+        excess = sum(b - a + 1 for a, b in self.passed) - self.cfg.holes
+        while excess > 0:
+            a, b = self.passed[0]
+            gone = min(excess, b - a + 1)
+            self.passed[:1] = [[a + gone, b]] if a + gone <= b else []
+            excess -= gone
+
+    def _found(self, n: int) -> bool:
+        """Whether ``n`` was passed over; it is then no longer."""
+        at = bisect.bisect_right(self.passed, n, key=lambda r: r[0]) - 1
+        if at < 0 or self.passed[at][1] < n:
+            return False
+        a, b = self.passed[at]
+        self.passed[at : at + 1] = [r for r in ([a, n - 1], [n + 1, b]) if r[0] <= r[1]]
+        return True
 
     def dump(self) -> str:
-        return json.dumps([self.cursor, self.newest, self.waiting, self.holes])
+        return json.dumps([self.cursor, self.newest, [self.held[n] for n in sorted(self.held)], self.passed])
 
     @classmethod
     def load(cls, text: str | None, cfg: ReorderConfig = ReorderConfig()) -> ReorderBuffer:
         buffer = cls(cfg)
         if text:
-            buffer.cursor, buffer.newest, waiting, buffer.holes = json.loads(text)
-            buffer.waiting = [Point(*x) for x in waiting]
+            buffer.cursor, buffer.newest, waiting, buffer.passed = json.loads(text)
+            buffer.held = {x[0]: Point(*x) for x in waiting}
+            buffer.order = sorted(buffer.held)
         return buffer

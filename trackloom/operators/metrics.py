@@ -26,11 +26,12 @@ def latency_summary(lat: DataFrame, started_ms: Column) -> DataFrame:
     )
 
 
-def outcome_counts(raw: DataFrame, fresh: DataFrame) -> DataFrame:
-    """One row of ingest counters from validated messages (``error``) and first arrivals (``late``)."""
+def outcome_counts(raw: DataFrame, fresh: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """One row of ingest counters from validated messages (``error``), first arrivals (``late``) and, where given, closed trips."""
     r = raw.agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("error").isNotNull()).alias("invalid"))
     f = fresh.agg(F.count(F.lit(1)).alias("stored"), F.count_if("late").alias("late"), F.count_if(~F.col("late")).alias("applied"))
-    return r.crossJoin(f).withColumn("duplicates", F.col("received") - F.col("invalid") - F.col("stored"))  # one row each
+    out = r.crossJoin(f).withColumn("duplicates", F.col("received") - F.col("invalid") - F.col("stored"))  # one row each
+    return out if closed is None else out.crossJoin(closed.agg(F.count(F.lit(1)).alias("trips_closed")))
 
 
 def increases(samples: DataFrame, *keys: str) -> DataFrame:
@@ -75,6 +76,20 @@ def histogram_quantile(buckets: DataFrame, q: float, *keys: str, value: str = "n
     return buckets.select(*keys).distinct().join(found, list(keys), "left") if keys else found
 
 
+def latency_p95(scrapes: DataFrame, at: DataFrame, seconds: int, *pods: str) -> DataFrame:
+    """(eval_ts, p95): the 95th percentile of the rates, over the window before each evaluation, of cumulative bucket counts (pods, le, ts,
+    value) of all pods together; null where nothing was observed."""
+    rise = rates(scrapes, at, seconds, *pods, "le").groupBy("eval_ts", "le").agg(F.sum("rate").alias("rate"))
+    return histogram_quantile(rise, 0.95, "eval_ts", value="rate").withColumnRenamed("quantile", "p95")
+
+
+def windowed_error_ratio(batches: DataFrame, seconds: int) -> DataFrame:
+    """(until, ratio): share of failed batches (ts, failed) in each window of ``seconds``."""
+    until = (F.floor(F.col("ts") / seconds) * seconds + seconds).alias("until")
+    failed = F.count_if("failed").cast("double")
+    return batches.groupBy(until).agg(error_ratio(failed, F.count(F.lit(1)) - failed).alias("ratio"))
+
+
 def error_ratio(failed: Column, done: Column) -> Column:
     """Share of failed batches, zero where there were none."""
     return failed / F.greatest(failed + done, F.lit(1e-9))
@@ -85,8 +100,9 @@ def saturation(samples: DataFrame) -> DataFrame:
     return samples.groupBy("ts").agg(F.max(F.col("depth") / F.greatest(F.col("capacity"), F.lit(1))).alias("saturation"))
 
 
-def alerts(series: DataFrame, condition: Column, for_s: int, *keys: str) -> DataFrame:
-    """(ts, keys, firing): the condition has held without a break for at least ``for_s`` seconds. A missing value breaks it."""
+def alerts(series: DataFrame, condition: Column, for_s: int | Column, *keys: str) -> DataFrame:
+    """(ts, keys, firing): the condition has held without a break for at least ``for_s`` seconds. A missing value breaks it. Without keys
+    the series is one task's, so it should be one of evaluations and not of samples."""
     w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow) if keys else Window.partitionBy(F.lit(1)).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = series.withColumn("holds", F.coalesce(condition, F.lit(False)))
     s = s.withColumn("broken_at", F.max(F.when(~F.col("holds"), F.col("ts"))).over(w))
@@ -104,6 +120,16 @@ ALERTS = (
 )
 
 
+def every_alert(series: DataFrame, *keys: str) -> DataFrame:
+    """(alert, severity, keys, ts, firing) of the fixed alerts over a table with a column for each series; ``keys`` (a pod, a job) deal
+    the series, so that no task has all of them."""
+    rules = F.array(*(F.struct(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), F.lit(held).alias("held"), F.coalesce(F.expr(condition), F.lit(False)).alias("met")) for name, condition, held, severity in ALERTS))
+    each = series.select("ts", *keys, F.explode(rules).alias("rule")).select("ts", *keys, "rule.*")
+    by = ["alert", "severity", "held", *keys]
+    lasting = alerts(each, F.col("met"), F.col("held"), *by)
+    return lasting.select("alert", "severity", *keys, "ts", "firing")
+
+
 def sliding(events: DataFrame, window: str, slide: str, *keys: str) -> DataFrame:
     """Dashboard series: number, rate a second, sum and greatest value by sliding window. ``events`` has ts (timestamp) and value."""
     w = F.window("ts", window, slide)

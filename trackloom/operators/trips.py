@@ -199,3 +199,9 @@ def transitions(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
     row = lambda a, i, b, n: F.struct(a.alias("from_state"), i.alias("input"), b.alias("to_state"), F.lit(n).alias("step"))
     every = F.array(F.when(F.col("gap"), row(F.col("before"), F.lit("gap"), after_gap, 0)), row(after_gap, F.col("input"), F.col("state"), 1))
     return p.select("device_id", "seq", F.explode(F.array_compact(every)).alias("t")).select("device_id", "seq", "t.*")
+
+
+def refused(moves: DataFrame) -> DataFrame:
+    """Transitions (from_state, input, to_state) that the table lacks; the table is small and fixed."""
+    known = moves.sparkSession.createDataFrame(TRANSITIONS, "from_state string, input string, to_state string")
+    return moves.join(F.broadcast(known), ["from_state", "input", "to_state"], "left_anti")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from trackloom.functions import geo, ids
 from trackloom.functions.numbers import duration_text
 from trackloom.operators import accuracy, invariants, leases, metrics, ordering, trips
-from trackloom.plans.oracle import DELIVERED, TELE, VIEWS, fold_sql, hav
+from trackloom.plans.oracle import DELIVERED, STORED, TELE, VIEWS, fold_sql, hav
 from trackloom.plans.registry import query
-from trackloom.plans.trip_queries import applied_points, deliveries, stored_points
+from trackloom.plans.trip_queries import REORDER, applied_points, deliveries
 from trackloom.sources.events_view import SCALED, table, telemetry
 from trackloom.sources.messages import payload_of, validated
 
@@ -94,7 +94,7 @@ def duration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOTH = f"WITH RECURSIVE {TELE}, {DELIVERED}, {VIEWS.split(DELIVERED + ', ')[1]}, {fold_sql('good')}, {fold_sql('tele').replace('track AS', 'track0 AS').replace('fold AS', 'fold0 AS').replace('closed AS', 'closed0 AS').replace('FROM track)', 'FROM track0)').replace('FROM track' + chr(10), 'FROM track0' + chr(10)).replace('FROM fold f JOIN track p', 'FROM fold0 f JOIN track0 p').replace('FROM fold WHERE', 'FROM fold0 WHERE')}"
 PAIRED = """t AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY start_ms) AS nth, count(*) OVER (PARTITION BY device_id) AS n FROM closed0),
     s AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY start_ms) AS nth, count(*) OVER (PARTITION BY device_id) AS n FROM closed),
-    pair AS (SELECT t.device_id, t.distance_m AS td, s.distance_m AS sd, t.idle_s AS ti, s.idle_s AS si, (s.distance_m - t.distance_m) / t.distance_m AS err FROM t JOIN s ON s.device_id = t.device_id AND s.nth = t.nth AND s.n = t.n WHERE t.distance_m > 0)"""
+    pair AS (SELECT t.device_id, t.distance_m AS td, s.distance_m AS sd, t.idle_s AS ti, s.idle_s AS si, CASE WHEN t.distance_m <> 0 THEN (s.distance_m - t.distance_m) / t.distance_m END AS err FROM t JOIN s ON s.device_id = t.device_id AND s.nth = t.nth AND s.n = t.n)"""
 
 
 def two_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -106,20 +106,22 @@ def count_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.count_mismatches(*two_sides(spark, sf_dir))
 
 
-@query("accuracy_sweep", f"""{BOTH}, {PAIRED}, q AS (SELECT *, abs(err) AS off FROM pair) SELECT floor(quantile_disc(off, 0.5) * 10000 + 0.5) / 100 AS median, floor(quantile_disc(off, 0.95) * 10000 + 0.5) / 100 AS p95, floor(quantile_disc(off, 0.99) * 10000 + 0.5) / 100 AS p99, floor(max(off) * 10000 + 0.5) / 100 AS max,
+@query("accuracy_sweep", f"""{BOTH}, {PAIRED}, q AS (SELECT *, abs(err) AS off FROM pair) SELECT floor(quantile_disc(off, 0.5) * 10000 + 0.5) / 100 AS median, floor(quantile_disc(off, 0.95) * 10000 + 0.5) / 100 AS p95, floor(quantile_disc(off, 0.99) * 10000 + 0.5) / 100 AS p99, floor(max(off) * 10000 + 0.5) / 100 AS max, floor(avg(err) * 10000 + 0.5) / 100 AS mean_signed,
     count_if(off < 0.01) AS within, count(*) AS compared, floor((sum(sd) - sum(td)) / sum(td) * 10000 + 0.5) / 100 AS fleet_distance, floor((sum(si) - sum(ti)) / sum(ti) * 10000 + 0.5) / 100 AS fleet_idle FROM q""")
 def accuracy_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth, stored = two_sides(spark, sf_dir)
-    p = accuracy.paired(truth, stored).filter("true_distance_m > 0")
-    side = lambda s: p.select("device_id", F.col(f"{s}_start_ms").alias("start_ms"), F.col(f"{s}_distance_m").alias("distance_m"), F.col(f"{s}_idle_s").alias("idle_s"))
-    return accuracy.sweep(side("true"), side("stored")).drop("mean_signed")
+    return accuracy.sweep(*two_sides(spark, sf_dir))
 
 
 @query("trip_comparison", f"""{BOTH}, {PAIRED} SELECT (SELECT count(*) FROM closed0) AS expected_trips, (SELECT count(*) FROM closed) AS actual_trips,
     (SELECT count(*) FROM (SELECT device_id, count(*) AS n FROM closed0 GROUP BY 1) a FULL JOIN (SELECT device_id, count(*) AS n FROM closed GROUP BY 1) b ON a.device_id = b.device_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)) AS devices_off,
-    (SELECT round(max(abs(si - ti)), 6) FROM (SELECT t.idle_s AS ti, s.idle_s AS si FROM t JOIN s ON s.device_id = t.device_id AND s.nth = t.nth AND s.n = t.n)) AS max_idle_error_s""")
+    (SELECT round(max(abs(si - ti)), 6) FROM (SELECT t.idle_s AS ti, s.idle_s AS si FROM t JOIN s ON s.device_id = t.device_id AND s.nth = t.nth AND s.n = t.n)) AS max_idle_error_s, (SELECT round(max(abs(err)), 9) FROM pair) AS max_distance_error""")
 def trip_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accuracy.comparison(*two_sides(spark, sf_dir)).drop("max_distance_error").withColumn("max_idle_error_s", F.round("max_idle_error_s", 6))
+    return accuracy.comparison(*two_sides(spark, sf_dir)).withColumn("max_idle_error_s", F.round("max_idle_error_s", 6)).withColumn("max_distance_error", F.round("max_distance_error", 9))
+
+
+@query("live_check", f"""{BOTH}, {PAIRED} SELECT (SELECT max(abs(err)) FROM pair) < 0.01e0 AND NOT EXISTS (SELECT 1 FROM (SELECT device_id, count(*) AS n FROM closed0 GROUP BY 1) a FULL JOIN (SELECT device_id, count(*) AS n FROM closed GROUP BY 1) b ON a.device_id = b.device_id WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)) AS ok""")
+def live_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accuracy.passes(*two_sides(spark, sf_dir))
 
 
 #: A run that lost, repeated and made up points.
@@ -165,11 +167,15 @@ def trip_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("idle_differences", f"""{BOTH}, a AS (SELECT dev || '#' || s.seq AS k, s.a || '|' || s.b AS v FROM fold0 f JOIN closed0 c ON c.device_id = f.dev AND c.start_seq = s.trip WHERE s IS NOT NULL), b AS (SELECT dev || '#' || s.seq AS k, s.a || '|' || s.b AS v FROM fold f JOIN closed c ON c.device_id = f.dev AND c.start_seq = s.trip WHERE s IS NOT NULL)
-    SELECT CASE WHEN a.k IS NULL THEN 'unexpected' WHEN b.k IS NULL THEN 'missing' ELSE 'different' END AS kind, count(*) AS n FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v GROUP BY 1""")
+    SELECT 'idle segment ' || coalesce(a.k, b.k) AS segment, CASE WHEN a.k IS NULL THEN 'unexpected' WHEN b.k IS NULL THEN 'missing' ELSE 'different' END AS kind, a.v AS expected, b.v AS got FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
 def idle_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("difference")
     lines = invariants.idle_differences(trips.idle_segments(telemetry(spark, sf_dir), SCALED), trips.idle_segments(applied_points(spark, sf_dir), SCALED))
-    return lines.groupBy(F.when(d.endswith(" unexpected"), "unexpected").when(d.endswith("got none"), "missing").otherwise("different").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    times = lambda name: F.nullif(F.regexp_extract("difference", name + r" (-?\d+\|-?\d+)\|", 1), F.lit(""))
+    kind = F.when(d.endswith(" unexpected"), "unexpected").when(d.endswith("got none"), "missing").otherwise("different")
+    plain = lines.select(F.regexp_extract(d, "^(idle segment [^ :]+)", 1).alias("segment"), kind.alias("kind"), times("expected").alias("expected"), times("got").alias("got"))
+    extra = trips.idle_segments(applied_points(spark, sf_dir), SCALED).select(F.concat(F.lit("idle segment "), invariants.key_text("device_id", "start_seq")).alias("segment"), F.concat_ws("|", F.col("start_ms").cast("string"), F.col("end_ms").cast("string")).alias("here"))
+    return plain.join(extra, "segment", "left").select("segment", "kind", "expected", F.coalesce("got", F.when(F.col("kind") == "unexpected", F.col("here"))).alias("got"))
 
 
 #: Columns of a trip beside its key, and those of them that agree when nine significant digits do.
@@ -239,9 +245,18 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.latency_summary(latencies(spark, sf_dir), F.col("published_ms")).withColumn("mean", F.round("mean", 6)).withColumn("rows_per_s", F.round("rows_per_s", 9))
 
 
-@query("ingest_counters", f"{VIEWS} SELECT (SELECT count(*) FROM sent) AS received, CAST(0 AS BIGINT) AS invalid, count(*) AS stored, count_if(late) AS late, count_if(NOT late) AS applied, (SELECT count(*) FROM sent) - count(*) AS duplicates FROM marked")
+#: Deliveries of which some fail validation, and what is stored of the others.
+BAD = "(event_id % 26 <= 10 OR event_id % 26 IN (12, 14))"
+VALID = f"WITH RECURSIVE {TELE}, {DELIVERED}, {STORED.replace('FROM sent)', f'FROM sent WHERE NOT {BAD})')}, {fold_sql('good')}"
+
+
+@query("ingest_counters", f"{VALID} SELECT (SELECT count(*) FROM sent) AS received, (SELECT count(*) FROM sent WHERE {BAD}) AS invalid, count(*) AS stored, count_if(late) AS late, count_if(NOT late) AS applied, (SELECT count(*) FROM sent WHERE NOT {BAD}) - count(*) AS duplicates, (SELECT count(*) FROM closed) AS trips_closed FROM marked")
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.outcome_counts(deliveries(spark, sf_dir).withColumn("error", F.lit(None).cast("string")), stored_points(spark, sf_dir))
+    """Every delivery of a message carries that message's envelope, good or bad."""
+    errors = validated(raw_messages(spark, sf_dir), PARTITIONS).select("event_id", "error")
+    sent = deliveries(spark, sf_dir).join(errors, "event_id")
+    fresh = ordering.with_lateness(ordering.first_arrivals(sent.filter("error is null"), F.desc("speed_kph")), REORDER)
+    return metrics.outcome_counts(sent, fresh, trips.trips(fresh.filter("not late"), SCALED))
 
 
 BUCKET_SQL = " UNION ALL ".join(f"SELECT event_type, {b}e0 AS le, count_if(s <= {b}e0) AS n FROM v GROUP BY 1" for b in metrics.BOUNDS) + " UNION ALL SELECT event_type, CAST('inf' AS DOUBLE), count(*) FROM v GROUP BY 1"
@@ -307,6 +322,50 @@ def alert_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.alerts(s, F.col("value") > 40, 3000, "user_id")
 
 
+#: Cumulative latency counts of pods over time, as a scrape every 15 s shows them.
+SCRAPES = f"""e AS (SELECT event_id * 15 AS ts, CAST(user_id % 4 AS BIGINT) AS pod, greatest(value / 40 - 1, 0e0) AS s FROM events), bounds AS (SELECT unnest([{', '.join(f'{b}e0' for b in metrics.BOUNDS)}, CAST('inf' AS DOUBLE)]) AS le),
+    scrapes AS (SELECT pod, ts, le, CAST(count_if(s <= le) OVER (PARTITION BY pod, le ORDER BY ts) AS DOUBLE) AS value FROM e, bounds)"""
+
+
+def scrapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select((F.col("event_id") * 15).alias("ts"), (F.col("user_id") % 4).cast("bigint").alias("pod"), F.greatest(F.col("value") / 40 - 1, F.lit(0.0)).alias("s"))
+    each = e.select("ts", "pod", "s", F.explode(F.array(*map(F.lit, [*metrics.BOUNDS, float("inf")]))).alias("le"))
+    return each.withColumn("value", F.count_if(F.col("s") <= F.col("le")).over(Window.partitionBy("pod", "le").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)).cast("double")).drop("s")
+
+
+@query("latency_p95_rule", f"""WITH {SCRAPES}, st AS (SELECT pod, le, ts, lag(ts) OVER w AS from_ts, coalesce(value - lag(value) OVER w, 0e0) AS rise FROM scrapes WINDOW w AS (PARTITION BY pod, le ORDER BY ts)), evals AS (SELECT DISTINCT ts // 900 * 900 AS eval_ts FROM scrapes),
+    r AS (SELECT eval_ts, le, sum(CASE WHEN from_ts > eval_ts - 300 THEN rise ELSE 0e0 END) / 300 AS n FROM evals JOIN st ON ts <= eval_ts AND ts > eval_ts - 300 GROUP BY ALL),
+    c AS (SELECT *, lag(n, 1, 0) OVER w AS below, lag(le, 1, 0e0) OVER w AS low, max(n) OVER (PARTITION BY eval_ts) * 0.95e0 AS rank FROM r WINDOW w AS (PARTITION BY eval_ts ORDER BY le)), d AS (SELECT *, row_number() OVER (PARTITION BY eval_ts ORDER BY le) AS k FROM c WHERE n >= rank AND rank > 0)
+    SELECT v.eval_ts, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (rank - below) / (n - below) END, 6) AS p95 FROM (SELECT DISTINCT eval_ts FROM r) v LEFT JOIN d ON d.eval_ts = v.eval_ts AND d.k = 1""")
+def latency_p95_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = scrapes(spark, sf_dir)
+    at = s.select((F.floor(F.col("ts") / 900) * 900).alias("eval_ts")).distinct()
+    return metrics.latency_p95(s, at, 300, "pod").withColumn("p95", F.round("p95", 6))
+
+
+#: Series of the five alerts by pod, with values that cross every threshold now and then.
+SERIES = "series AS (SELECT CAST(user_id % 6 AS BIGINT) AS pod, event_id * 15 AS ts, value / 20 AS p95, (event_id % 97) / 97e0 AS saturation, CAST(event_id % 89 < 20 AS INTEGER) AS paused, (event_id % 83) / 83e0 * 0.4e0 AS ratio, CAST(event_id % 71 AS DOUBLE) AS unowned_s, CAST(event_id % 79 > 30 AS INTEGER) AS up FROM events)"
+HOLDS = {"p95 > 2": "p95 > 2", "saturation > 0.8 OR paused > 0": "saturation > 0.8e0 OR paused > 0", "ratio > 0.05": "ratio > 0.05e0", "unowned_s > 30": "unowned_s > 30", "up = 0": "up = 0"}
+ALERTED = " UNION ALL ".join(f"SELECT '{name}' AS alert, '{severity}' AS severity, {held} AS for_s, pod, ts, {HOLDS[condition]} AS holds FROM series" for name, condition, held, severity in metrics.ALERTS)
+
+
+@query("five_alerts", f"""WITH {SERIES}, s AS ({ALERTED}), g AS (SELECT *, max(CASE WHEN NOT holds THEN ts END) OVER (PARTITION BY alert, pod ORDER BY ts ROWS UNBOUNDED PRECEDING) AS b FROM s), h AS (SELECT *, min(CASE WHEN holds THEN ts END) OVER (PARTITION BY alert, pod, b) AS since FROM g)
+    SELECT alert, severity, pod, ts, holds AND ts - since >= for_s AS firing FROM h""")
+def five_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("event_id"), lambda m: F.col("event_id") % m
+    s = table(spark, sf_dir, "events").select((F.col("user_id") % 6).cast("bigint").alias("pod"), (k * 15).alias("ts"), (F.col("value") / 20).alias("p95"), (n(97) / 97.0).alias("saturation"), (n(89) < 20).cast("int").alias("paused"), (n(83) / 83.0 * 0.4).alias("ratio"), n(71).cast("double").alias("unowned_s"), (n(79) > 30).cast("int").alias("up"))
+    return metrics.every_alert(s, "pod")
+
+
+@query("batch_error_ratios", "WITH e AS (SELECT event_id * 15 AS ts, event_type = 'error' AS failed FROM events), w AS (SELECT ts // 300 * 300 + 300 AS until, failed FROM e) SELECT until, round(count_if(failed) / greatest(count(*), 1e-9), 9) AS ratio FROM w GROUP BY until")
+def batch_error_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratio over windows of five minutes."""
+    e = table(spark, sf_dir, "events").select((F.col("event_id") * 15).alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    return metrics.windowed_error_ratio(e, 300).withColumn("ratio", F.round("ratio", 9))
+
+
 @query("dashboard", """WITH e AS (SELECT epoch_us(ts) AS u, event_type, value FROM events), w AS (SELECT u // 3600000000 * 3600 AS base, u, event_type, value FROM e), x AS (SELECT (base - k * 3600) * 1000 AS start_ms, event_type, value FROM w, (SELECT unnest([0, 1, 2, 3]) AS k))
     SELECT start_ms, event_type, count(*) AS n, round(count(*) / 14400e0, 9) AS rate, round(sum(value), 6) AS total, max(value) AS top FROM x GROUP BY ALL""")
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,10 +174,15 @@ def applied(points: DataFrame, device_id: str) -> DataFrame:
 
 
 def trip_tracks(points: DataFrame, t: DataFrame, include_late: bool | str | None = None) -> DataFrame:
-    """Each trip's points: equality on the device, range on the number."""
+    """Each trip's points. Trips of a device don't overlap, so a point's trip is the last that starts at or before it, carried along by a
+    window, if that has not ended: one shuffle by device, and time in proportion to points and trips."""
     p = points if checked_flag(include_late) else points.filter("not late")
-    keys = t.select("device_id", "start_seq", "end_seq")
-    return p.join(keys, "device_id").filter("seq between start_seq and end_seq").drop("end_seq")
+    trip = "struct<start_seq:bigint,end_seq:bigint>"
+    starts = t.select("device_id", F.col("start_seq").alias("seq"), F.struct("start_seq", "end_seq").cast(trip).alias("trip"), F.lit(0).alias("kind"))
+    both = p.withColumn("trip", F.lit(None).cast(trip)).withColumn("kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy("device_id").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("trip", F.last("trip", ignorenulls=True).over(w)).filter("kind = 1 and seq <= trip.end_seq")
+    return found.select(*p.columns, F.col("trip.start_seq").alias("start_seq"))
 
 
 def projected_tracks(tracks: DataFrame, width: float = 380.0) -> DataFrame:
@@ -195,12 +200,38 @@ def last_trips(t: DataFrame) -> DataFrame:
     return t.groupBy("device_id").agg(F.max_by(F.struct("start_seq", "end_seq", "end_reason"), "end_seq").alias("t")).select("device_id", "t.*")
 
 
+def end_points(points: DataFrame, t: DataFrame) -> DataFrame:
+    """Where each device's last trip ended: its end point, with nulls where that is not stored."""
+    last = last_trips(t).select("device_id", F.col("end_seq").alias("seq"), "end_reason")
+    return last.join(points.select("device_id", "seq", "ts_ms", "lat", "lon", "speed_kph"), ["device_id", "seq"], "left")
+
+
+def replay_cursors(points: DataFrame, devices: DataFrame) -> DataFrame:
+    """(device_id, kind, next_seq): where a device's buffer goes on. ``absent`` without a stored device, ``unset`` where the device has
+    released nothing yet, else ``number``."""
+    known = devices.select("device_id", "next_seq", F.lit(True).alias("there"))
+    both = points.select("device_id").distinct().join(known, "device_id", "full_outer")
+    kind = F.when(F.col("there").isNull(), "absent").when(F.col("next_seq").isNull(), "unset").otherwise("number")
+    return both.select("device_id", kind.alias("kind"), "next_seq")
+
+
 def replay_points(points: DataFrame, t: DataFrame) -> DataFrame:
     """Applied points behind each device's last trip: what recovery feeds to the state machine again."""
     last = last_trips(t).select("device_id", "end_seq")
     return points.filter("not late").join(last, "device_id", "left").filter("end_seq is null or seq > end_seq").drop("end_seq")
 
 
+def recovered(points: DataFrame, t: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
+    """All trips, closed and open, that begin behind the last stored one, from the points behind it alone.
+
+    The place where the last trip ended is what the next is measured from, as a parked point is, so it goes first; after a gap nothing is
+    known, and the replay begins with the next point.
+    """
+    columns = ["device_id", "seq", "ts_ms", "lat", "lon", "speed_kph", "ignition"]
+    seed = end_points(points, t).filter("end_reason <> 'gap' and ts_ms is not null").withColumn("ignition", F.lit(False)).select(columns)
+    return T.all_trips(replay_points(points, t).select(columns).unionByName(seed), cfg)
+
+
 def replay_marks(points: DataFrame) -> DataFrame:
     """Highest number of all points and highest event time of the applied ones, by device."""
     return points.groupBy("device_id").agg(F.max("seq").alias("max_seq"), F.max(F.when(~F.col("late"), F.col("ts_ms"))).alias("max_ms"))
@@ -215,7 +246,15 @@ def recovered_trips(points: DataFrame, t: DataFrame, cfg: TripConfig = TripConfi
     return T.trips(points.filter("not late"), cfg).join(t.select("device_id", "start_seq"), ["device_id", "start_seq"], "left_anti")
 
 
+def found(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or ``LookupError`` where it has no row: what a request for something unknown answers."""
+    if df.isEmpty():
+        raise LookupError(f"{what} not found")
+    return df
+
+
 def as_json(df: DataFrame) -> DataFrame:
+    """Each row as the JSON text of a response's body."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("body"))
 
 

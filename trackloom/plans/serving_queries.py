@@ -52,16 +52,18 @@ def newest_per_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.newest_per_device(store(spark, sf_dir).trips, 3).select("device_id", "start_seq", "start_ms", "nth")
 
 
-LAST = f"last AS (SELECT g.device_id, g.seq, g.ts_ms, g.lat, g.speed_kph, g.ignition FROM good g WHERE g.seq = (SELECT max(seq) FROM good b WHERE b.device_id = g.device_id)), ends AS (SELECT * FROM fold f WHERE k > 0 AND k = (SELECT max(k) FROM fold b WHERE b.dev = f.dev))"
+LAST = f"last AS (SELECT g.device_id, g.seq, g.ts_ms, g.lat, g.lon, g.speed_kph, g.ignition FROM good g WHERE g.seq = (SELECT max(seq) FROM good b WHERE b.device_id = g.device_id)), ends AS (SELECT * FROM fold f WHERE k > 0 AND k = (SELECT max(k) FROM fold b WHERE b.dev = f.dev))"
 
 
-@query("device_list", f"""{FOLDED}, {LAST} SELECT l.device_id, CASE WHEN e.c IS NOT NULL THEN 'trip_ended' WHEN e.j IS NULL THEN 'parked' WHEN e.i IS NULL THEN 'moving' ELSE 'idle' END AS state, l.seq AS last_seq, l.ts_ms AS last_ms, l.lat AS last_lat,
-    l.speed_kph AS last_speed_kph, l.ignition AS last_ignition, l.seq + 1 AS next_seq, e.j.seq AS open_start, coalesce(t.n, 0) AS trip_count, round(coalesce(t.d, 0e0), 3) AS total_m
+@query("device_list", f"""{FOLDED}, {LAST} SELECT l.device_id, CASE WHEN e.c IS NOT NULL THEN 'trip_ended' WHEN e.j IS NULL THEN 'parked' WHEN e.i IS NULL THEN 'moving' ELSE 'idle' END AS state, l.seq AS last_seq, l.ts_ms AS last_ms, l.lat AS last_lat, l.lon AS last_lon,
+    l.speed_kph AS last_speed_kph, l.ignition AS last_ignition, l.seq + 1 AS next_seq, e.j.seq AS open_start, e.j.ts AS open_ms, round(e.j.d, 3) AS open_m, e.j.n AS open_points, e.j.k AS open_idle, coalesce(t.n, 0) AS trip_count, round(coalesce(t.d, 0e0), 3) AS total_m
     FROM last l JOIN ends e ON e.dev = l.device_id LEFT JOIN (SELECT device_id, count(*) AS n, sum(distance_m) AS d FROM closed GROUP BY device_id) t ON t.device_id = l.device_id""")
 def device_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = store(spark, sf_dir)
     found = S.device_list(S.current_devices(s.points, SCALED), s.trips)
-    return found.withColumn("open_start", F.get_json_object("open_trip", "$.startSeq").cast("bigint")).withColumn("total_m", F.round("total_m", 3)).drop("open_trip", "last_lon")
+    part = lambda name, kind: F.get_json_object("open_trip", f"$.{name}").cast(kind)
+    opened = {"open_start": part("startSeq", "bigint"), "open_ms": part("startTs", "bigint"), "open_m": F.round(part("distanceM", "double"), 3), "open_points": part("pointCount", "bigint"), "open_idle": part("idleSegments", "bigint")}
+    return found.withColumns(opened).withColumn("total_m", F.round("total_m", 3)).drop("open_trip")
 
 
 @query("device_totals", f"{FOLDED} SELECT count(*) AS trips, round(coalesce(sum(distance_m), 0e0), 3) AS distance_m, coalesce(sum(duration_s), 0e0) AS duration_s, coalesce(sum(idle_s), 0e0) AS idle_s FROM closed WHERE device_id = '{DEVICE}'")
@@ -110,6 +112,27 @@ def replay_last_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.last_trips(store(spark, sf_dir).trips)
 
 
+@query("replay_end_points", f"{FOLDED} SELECT c.device_id, c.end_seq AS seq, c.end_reason, m.ts_ms, m.lat, m.lon FROM closed c LEFT JOIN marked m ON m.device_id = c.device_id AND m.seq = c.end_seq WHERE c.end_seq = (SELECT max(end_seq) FROM closed b WHERE b.device_id = c.device_id)")
+def replay_end_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = store(spark, sf_dir)
+    return S.end_points(s.points, s.trips).drop("speed_kph")
+
+
+@query("replay_cursors", f"""{VIEWS}, d AS (SELECT CAST(c_custkey AS VARCHAR) AS device_id, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey AS BIGINT) * 3 END AS next_seq FROM customer WHERE c_custkey % 3 <> 0), p AS (SELECT DISTINCT device_id FROM marked)
+    SELECT coalesce(p.device_id, d.device_id) AS device_id, CASE WHEN d.device_id IS NULL THEN 'absent' WHEN next_seq IS NULL THEN 'unset' ELSE 'number' END AS kind, next_seq FROM p FULL JOIN d ON d.device_id = p.device_id""")
+def replay_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    devices = table(spark, sf_dir, "customer").filter(k % 3 != 0).select(k.cast("string").alias("device_id"), F.when(k % 4 != 0, k.cast("bigint") * 3).alias("next_seq"))
+    return S.replay_cursors(stored_points(spark, sf_dir), devices)
+
+
+@query("recovered_open_trips", f"{FOLDED} SELECT dev AS device_id, j.seq AS start_seq, j.ts AS start_ms, j.lat AS start_lat, j.lon AS start_lon, round(j.d, 3) AS distance_m, CAST(j.n AS INTEGER) AS point_count FROM fold f WHERE j IS NOT NULL AND k = (SELECT max(k) FROM fold b WHERE b.dev = f.dev)")
+def recovered_open_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay from the last stored trip on gives the trips under way that the whole history does, and none that is stored."""
+    s = store(spark, sf_dir)
+    return S.recovered(s.points, s.trips, SCALED).select("device_id", "start_seq", "start_ms", "start_lat", "start_lon", F.round("distance_m", 3).alias("distance_m"), "point_count")
+
+
 @query("replay_points", f"{FOLDED} SELECT g.device_id, g.seq FROM good g LEFT JOIN (SELECT device_id, max(end_seq) AS e FROM closed GROUP BY device_id) t ON t.device_id = g.device_id WHERE t.e IS NULL OR g.seq > t.e")
 def replay_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = store(spark, sf_dir)

@@ -64,24 +64,33 @@ def device_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.states(telemetry(spark, sf_dir), SCALED)
 
 
-@query(
-    "transition_counts",
-    f"""{CLEAN}, st AS (SELECT f.dev, f.k, {STATE} AS b, lag({STATE}) OVER (PARTITION BY f.dev ORDER BY f.k) AS a0, p.inp, p.ts - lag(p.ts) OVER (PARTITION BY f.dev ORDER BY f.k) > {SCALED.gap_ms} AS gap FROM fold f JOIN track p ON p.dev = f.dev AND p.k = f.k),
+MOVES = f"""{CLEAN}, st AS (SELECT f.dev, f.k, f.seq, {STATE} AS b, lag({STATE}) OVER (PARTITION BY f.dev ORDER BY f.k) AS a0, p.inp, p.ts - lag(p.ts) OVER (PARTITION BY f.dev ORDER BY f.k) > {SCALED.gap_ms} AS gap FROM fold f JOIN track p ON p.dev = f.dev AND p.k = f.k),
     st2 AS (SELECT *, coalesce(a0, 'parked') AS a, CASE inp WHEN 'o' THEN 'off' WHEN 's' THEN 'stationary' ELSE 'moving' END AS input FROM st),
-    st3 AS (SELECT *, CASE WHEN coalesce(gap, FALSE) AND a IN ('moving', 'idle') THEN 'trip_ended' ELSE a END AS m FROM st2)
-    SELECT from_state, input, to_state, count(*) AS n FROM (SELECT a AS from_state, 'gap' AS input, m AS to_state FROM st3 WHERE gap UNION ALL SELECT m, input, b FROM st3) GROUP BY ALL""",
-)
-def transition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trips.transitions(telemetry(spark, sf_dir), SCALED).groupBy("from_state", "input", "to_state").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("trip_event_counts", f"""{CLEAN} SELECT * FROM (
-    SELECT 'trip_ended' AS event, CAST(NULL AS BOOLEAN) AS recorded, count(*) AS n FROM closed UNION ALL
-    SELECT 'trip_started', NULL, (SELECT count(*) FROM closed) + (SELECT count(*) FROM fold f WHERE j IS NOT NULL AND k = (SELECT max(k) FROM fold b WHERE b.dev = f.dev)) UNION ALL
-    SELECT 'idle_started', NULL, count(*) FROM fold WHERE i.seq = seq UNION ALL
-    SELECT 'idle_ended', recorded, count(*) FROM (SELECT f.s IS NOT NULL AS recorded FROM fold f JOIN fold b ON b.dev = f.dev AND b.k = f.k - 1 WHERE b.i IS NOT NULL AND f.g IS NULL AND f.i IS NULL AND coalesce(f.c.why, '') <> 'idle_timeout') GROUP BY recorded)""")
-def trip_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trips.trip_events(telemetry(spark, sf_dir), SCALED).groupBy("event", "recorded").agg(F.count(F.lit(1)).alias("n"))
+    st3 AS (SELECT *, CASE WHEN coalesce(gap, FALSE) AND a IN ('moving', 'idle') THEN 'trip_ended' ELSE a END AS m FROM st2),
+    moves AS (SELECT dev AS device_id, seq, a AS from_state, 'gap' AS input, m AS to_state, 0 AS step FROM st3 WHERE gap UNION ALL SELECT dev, seq, m, input, b, 1 FROM st3)"""
+
+
+@query("transitions", f"{MOVES} SELECT device_id, seq, from_state, input, to_state, CAST(step AS INTEGER) AS step FROM moves")
+def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips.transitions(telemetry(spark, sf_dir), SCALED)
+
+
+TABLE = ", ".join(str(x) for x in trips.TRANSITIONS)
+
+
+@query("refused_transitions", f"{MOVES}, claimed AS (SELECT device_id, seq, from_state, input, CASE WHEN seq % 3 = 0 THEN 'idle' ELSE to_state END AS to_state FROM moves) SELECT * FROM claimed WHERE (from_state, input, to_state) NOT IN (VALUES {TABLE})")
+def refused_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of claimed transitions, a third with another outcome, those that the table lacks."""
+    claimed = trips.transitions(telemetry(spark, sf_dir), SCALED).withColumn("to_state", F.when(F.col("seq") % 3 == 0, "idle").otherwise(F.col("to_state")))
+    return trips.refused(claimed).drop("step")
+
+
+@query("trip_events", f"""{CLEAN} SELECT dev AS device_id, seq, event, recorded FROM (
+    SELECT dev, seq, 'trip_ended' AS event, CAST(NULL AS BOOLEAN) AS recorded FROM fold WHERE g IS NOT NULL UNION ALL SELECT dev, seq, 'trip_ended', NULL FROM fold WHERE c IS NOT NULL UNION ALL
+    SELECT dev, seq, 'trip_started', NULL FROM fold WHERE j.seq = seq UNION ALL SELECT dev, seq, 'idle_started', NULL FROM fold WHERE i.seq = seq UNION ALL
+    SELECT f.dev, f.seq, 'idle_ended', f.s IS NOT NULL FROM fold f JOIN fold b ON b.dev = f.dev AND b.k = f.k - 1 WHERE b.i IS NOT NULL AND f.g IS NULL AND f.i IS NULL AND coalesce(f.c.why, '') <> 'idle_timeout')""")
+def trip_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips.trip_events(telemetry(spark, sf_dir), SCALED)
 
 
 @query("first_arrivals", f"{VIEWS} SELECT device_id, seq, arrival, speed_kph FROM fresh")

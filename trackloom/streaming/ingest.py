@@ -21,6 +21,7 @@ from trackloom.shipping import ship
 from trackloom.sources.messages import message_stream, validated
 
 OUTPUT = "kind string, device_id string, seq bigint, late boolean, body string"
+DEVICE = "device_id string, state string, last_seq bigint, last_ms bigint, last_lat double, last_lon double, last_speed_kph double, last_ignition boolean, open_trip string, next_seq bigint"
 POINT = "device_id string, seq bigint, ts_ms bigint, lat double, lon double, speed_kph double, ignition boolean, late boolean"
 
 
@@ -49,7 +50,7 @@ class DeviceState:
         self.buffer, self.fold, self.missing = ReorderBuffer.load(d["buffer"], cfg.reorder), TripFold.load(d["fold"], cfg.trip), Missing(d["missing"])
 
     def dump(self) -> str:
-        self.buffer.holes = []  # the ranges know more
+        self.buffer.passed = []  # the ranges know more
         return json.dumps({"buffer": self.buffer.dump(), "fold": self.fold.dump(), "missing": self.missing.ranges})
 
     def _apply(self, released: list[Point], next_before: int | None) -> list[dict]:
@@ -72,6 +73,13 @@ class DeviceState:
         cursor = self.buffer.cursor
         return self._apply(self.buffer.flush(), cursor)
 
+    def row(self) -> str:
+        """The device as it is served: state, last applied point, open trip, next number."""
+        last, open_trip = self.fold.last, self.fold.open_summary()
+        shown = open_trip and dict(zip(("startSeq", "startTs", "distanceM", "pointCount", "idleSegments"), open_trip.values(), strict=True))
+        seen = {f"last_{k}": getattr(last, n) for k, n in (("seq", "seq"), ("ms", "ts_ms"), ("lat", "lat"), ("lon", "lon"), ("speed_kph", "speed_kph"), ("ignition", "ignition"))} if last else {}
+        return json.dumps({"state": self.fold.state, **seen, "open_trip": shown and json.dumps(shown), "next_seq": self.buffer.cursor})
+
 
 class DeviceProcessor(StatefulProcessor):
     def __init__(self, cfg: StreamConfig, timers: bool):
@@ -93,6 +101,7 @@ class DeviceProcessor(StatefulProcessor):
             if late is not None:
                 out.append(("point", device, p.seq, late, json.dumps(p._asdict())))
             out += [("trip", device, t["start_seq"], False, json.dumps(t)) for t in closed]
+        out.append(("device", device, 0, False, state.row()))
         self.state.update((state.dump(),))
         if self.timers:
             for t in list(self.handle.listTimers()):
@@ -104,6 +113,7 @@ class DeviceProcessor(StatefulProcessor):
         """A device that has been quiet for the stale time gives up all it holds back."""
         state = self._load()
         out = [("trip", key[0], t["start_seq"], False, json.dumps(t)) for t in state.flush()]
+        out.append(("device", key[0], 0, False, state.row()))
         self.state.update((state.dump(),))
         yield frame(out)
 
@@ -136,6 +146,13 @@ def trips_of(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'trip'").withColumn("b", body).select("device_id", "b.*")
 
 
+def devices_of(rows: DataFrame) -> DataFrame:
+    """The state of the devices of a batch; of a device that comes twice the furthest."""
+    body = F.from_json("body", DEVICE.replace("device_id string, ", ""))
+    found = rows.filter("kind = 'device'").withColumn("b", body).groupBy("device_id").agg(F.max_by("b", F.coalesce("b.next_seq", F.lit(-1))).alias("b"))
+    return found.select("device_id", "b.*")
+
+
 def idle_of(t: DataFrame) -> DataFrame:
     """Idle segments of trips that carry them as ``segments``."""
     s = t.select("device_id", F.col("start_seq").alias("trip_start_seq"), F.explode("segments").alias("s"))
@@ -151,7 +168,7 @@ def sink(base: str, on_trips: Callable[[DataFrame, int], None] | None = None):
         rows = rows.persist()
         try:
             t = trips_of(rows)
-            for name, df in (("points", points_of(rows)), ("trips", t.drop("segments")), ("idle_segments", idle_of(t))):
+            for name, df in (("points", points_of(rows)), ("trips", t.drop("segments")), ("idle_segments", idle_of(t)), ("devices", devices_of(rows))):
                 df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
             if on_trips:
                 on_trips(t.drop("segments"), batch_id)
@@ -167,6 +184,13 @@ def read_store(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, Da
     return read("points", POINT), read("trips", TRIPS), read("idle_segments", IDLE_SEGMENTS)
 
 
+def read_devices(spark: SparkSession, base: str) -> DataFrame:
+    """The latest state of each device; values that a later batch lacks are kept, but for state and open trip."""
+    every = spark.read.schema(DEVICE + ", batch bigint").parquet(f"{base}/devices")
+    latest = lambda c: F.max_by(c, "batch") if c in ("state", "open_trip") else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch")))
+    return every.groupBy("device_id").agg(*(latest(c).alias(c) for c in every.columns if c not in ("device_id", "batch")))
+
+
 def start(spark: SparkSession, source: str, base: str, checkpoint: str, cfg: StreamConfig = StreamConfig(), partitions: int | None = None, timers: bool = True, on_trips: Callable[[DataFrame, int], None] | None = None, **trigger) -> StreamingQuery:
     """Ingest from JSON-line files of envelopes into tables under ``base``; ``trigger`` as for ``writeStream.trigger``.
 
