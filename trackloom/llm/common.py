@@ -49,12 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
     return found or tempfile.mkdtemp(prefix="checkpoints-")
 
 
+#: Whether the shuffle files of a finished execution go at once; read when a DataFrame is made.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
-    sc = df.sparkSession.sparkContext
+    """``df`` computed once and kept in the shared folder. The shuffles behind it are not needed any more and go as soon as it is
+    written, so that an operator of many steps never holds the shuffle files of all of them."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(spark))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
