@@ -91,18 +91,27 @@ def trip_view(t: DataFrame) -> DataFrame:
     )
 
 
-def current_devices(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
-    """The state of each device: last applied message, state, open trip as JSON, and the next number expected."""
+def latest(applied: DataFrame, cfg: TripConfig) -> DataFrame:
+    """The last applied message of each device with the state after it, by the shuffle that the state machine needs anyhow."""
+    p = T.annotated(applied, cfg).withColumn("state", T.state())
+    last = p.groupBy("device_id").agg(F.max(F.struct("seq", "ts_ms", "lat", "lon", "speed_kph", "ignition", "state")).alias("l"))
+    return last.select("device_id", "l.state", F.col("l.seq").alias("last_seq"), F.col("l.ts_ms").alias("last_ms"), F.col("l.lat").alias("last_lat"), F.col("l.lon").alias("last_lon"), F.col("l.speed_kph").alias("last_speed_kph"), F.col("l.ignition").alias("last_ignition"))
+
+
+def trip_totals(every: DataFrame) -> DataFrame:
+    """Of closed and open trips, by device: number and total length of the closed ones, and the open one as JSON."""
+    closed = F.col("end_reason").isNotNull()
+    under_way = F.struct(F.col("start_seq").alias("startSeq"), F.col("start_ms").alias("startTs"), F.col("distance_m").alias("distanceM"), F.col("point_count").alias("pointCount"), F.col("idle_segments").cast("int").alias("idleSegments"))
+    found = every.groupBy("device_id").agg(F.count_if(closed).alias("trip_count"), F.sum(F.when(closed, F.col("distance_m"))).alias("total_m"), F.max(F.when(~closed, under_way)).alias("open"))
+    return found.select("device_id", F.to_json("open").alias("open_trip"), "trip_count", "total_m")
+
+
+def listed_devices(points: DataFrame, cfg: TripConfig = TripConfig()) -> DataFrame:
+    """The rows of ``device_list`` from points alone: each device's last applied message, state, open trip as JSON, next number expected
+    and trip totals. Open and closed trips are folded together, once."""
     applied = points.filter("not late")
-    last = applied.groupBy("device_id").agg(F.max(F.struct("seq", "ts_ms", "lat", "lon", "speed_kph", "ignition")).alias("l"))
-    state = T.states(applied, cfg).groupBy("device_id").agg(F.max_by("state", "seq").alias("state"))
-    under_way = T.open_trips(applied, cfg)
-    summary = under_way.select("device_id", F.to_json(F.struct(F.col("start_seq").alias("startSeq"), F.col("start_ms").alias("startTs"), F.col("distance_m").alias("distanceM"), F.col("point_count").alias("pointCount"), F.col("idle_segments").alias("idleSegments"))).alias("open_trip"))
-    return (
-        last.join(state, "device_id")
-        .join(summary, "device_id", "left")
-        .select("device_id", "state", F.col("l.seq").alias("last_seq"), F.col("l.ts_ms").alias("last_ms"), F.col("l.lat").alias("last_lat"), F.col("l.lon").alias("last_lon"), F.col("l.speed_kph").alias("last_speed_kph"), F.col("l.ignition").alias("last_ignition"), "open_trip", (F.col("l.seq") + 1).alias("next_seq"))
-    )
+    both = latest(applied, cfg).join(trip_totals(T.all_trips(applied, cfg)), "device_id", "left")
+    return both.withColumn("next_seq", F.col("last_seq") + 1).fillna({"trip_count": 0, "total_m": 0.0}).orderBy("device_id")
 
 
 def merged_devices(old: DataFrame, new: DataFrame) -> DataFrame:

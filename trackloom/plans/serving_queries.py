@@ -59,8 +59,7 @@ LAST = f"last AS (SELECT g.device_id, g.seq, g.ts_ms, g.lat, g.lon, g.speed_kph,
     l.speed_kph AS last_speed_kph, l.ignition AS last_ignition, l.seq + 1 AS next_seq, e.j.seq AS open_start, e.j.ts AS open_ms, round(e.j.d, 3) AS open_m, e.j.n AS open_points, e.j.k AS open_idle, coalesce(t.n, 0) AS trip_count, round(coalesce(t.d, 0e0), 3) AS total_m
     FROM last l JOIN ends e ON e.dev = l.device_id LEFT JOIN (SELECT device_id, count(*) AS n, sum(distance_m) AS d FROM closed GROUP BY device_id) t ON t.device_id = l.device_id""")
 def device_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = store(spark, sf_dir)
-    found = S.device_list(S.current_devices(s.points, SCALED), s.trips)
+    found = S.listed_devices(stored_points(spark, sf_dir), SCALED)
     part = lambda name, kind: F.get_json_object("open_trip", f"$.{name}").cast(kind)
     opened = {"open_start": part("startSeq", "bigint"), "open_ms": part("startTs", "bigint"), "open_m": F.round(part("distanceM", "double"), 3), "open_points": part("pointCount", "bigint"), "open_idle": part("idleSegments", "bigint")}
     return found.withColumns(opened).withColumn("total_m", F.round("total_m", 3)).drop("open_trip")
