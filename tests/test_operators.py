@@ -1,12 +1,15 @@
 """Worked values for geometry, validation, checks, metrics, alerts, leases, serving parameters and settings."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from trackloom import schemas
 from trackloom.functions import geo, ids, numbers
 from trackloom.operators import invariants, leases, metrics
-from trackloom.plans import serving
+from trackloom.plans import QUERIES, serving
 from trackloom.sources import messages, simulator
 from trackloom.sources.simulator import Fleet
 
@@ -103,6 +106,25 @@ def test_latency_rule(spark):
     assert not firing[540] and not firing[780] and firing[1500]
 
 
+def test_latency_rule_shuffles_observations_and_not_buckets(spark):
+    """The quantiles of the scrapes' counts since the beginning, and no row for each bound is shuffled; nothing is broadcast."""
+    rng = random.Random(5)
+    seen = [(rng.randrange(3), 7 * i, rng.choice([0.0, 0.02, 0.3, 2.0, 20.0, 90.0])) for i in range(600) if rng.random() < 0.7]
+    counts, scrapes = {}, []
+    for pod, ts, s in seen:
+        for le in [*metrics.BOUNDS, math.inf]:
+            counts[pod, le] = counts.get((pod, le), 0.0) + (s <= le)
+            scrapes.append((pod, ts, le, counts[pod, le]))
+    at = spark.createDataFrame([(t,) for t in range(-100, 5000, 90)], "eval_ts long")
+    got = metrics.observed_p95(spark.createDataFrame(seen, "pod long, ts long, s double"), at, 300, "pod")
+    want = metrics.latency_p95(spark.createDataFrame(scrapes, "pod long, ts long, le double, value double"), at, 300, "pod")
+    rows = lambda df: [(r.eval_ts, r.p95 if r.p95 is None else round(r.p95, 9)) for r in df.orderBy("eval_ts").collect()]
+    assert rows(got) == rows(want) and len(rows(got)) > 40
+    plan = QUERIES["latency_p95_rule"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1
+    assert plan.count("Exchange ") == 4 and "Exchange " not in plan[: plan.index("Generate explode(array(struct(le")]
+
+
 def test_other_rules(spark):
     depth = [100, 9500, 100, 100, *[9000] * 10]
     q = metrics.saturation(spark.createDataFrame([(30 * i, float(d), 10_000) for i, d in enumerate(depth)], "ts long, depth double, capacity int"))

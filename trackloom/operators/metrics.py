@@ -52,16 +52,22 @@ def histogram(values: DataFrame, seconds: Column, *keys: str, bounds: Sequence[f
     return wide.select(*keys, F.explode(every).alias("b")).select(*keys, "b.le", "b.n")
 
 
+def within(samples: DataFrame, at: DataFrame, seconds: int) -> DataFrame:
+    """The samples with the ``eval_ts`` of each evaluation whose window, of ``seconds`` up to it, they are in."""
+    # a window has parts of two numbers only: equality on window numbers, then the exact test; evaluations grow with time, so none are broadcast
+    number = F.floor(F.col("eval_ts") / seconds)
+    wanted = at.select("eval_ts", F.explode(F.array(number - 1, number)).alias("slot"))
+    inside = samples.withColumn("slot", F.floor(F.col("ts") / seconds)).join(wanted.hint("merge"), "slot")
+    return inside.filter((F.col("ts") <= F.col("eval_ts")) & (F.col("ts") > F.col("eval_ts") - seconds)).drop("slot")
+
+
 def rates(samples: DataFrame, at: DataFrame, seconds: int, *keys: str) -> DataFrame:
-    """(eval_ts, keys, rate): rise of a total a second over the window before each evaluation, counter resets taken as new starts."""
-    w = Window.partitionBy(*keys).orderBy("ts")
-    stepped = samples.withColumn("before", F.lag("value").over(w)).withColumn("rise", F.when(F.col("before").isNull(), 0.0).when(F.col("value") < F.col("before"), F.col("value")).otherwise(F.col("value") - F.col("before")))
-    stepped = stepped.withColumn("from_ts", F.lag("ts").over(w))
-    # a sample is wanted by the few evaluations within the window behind it: equality on window numbers, then the exact test
-    number = F.floor(F.col("ts") / seconds)
-    near = stepped.withColumn("slot", F.explode(F.array(number, number + 1)))
-    inside = at.withColumn("slot", F.floor(F.col("eval_ts") / seconds)).join(near, "slot").filter((F.col("ts") <= F.col("eval_ts")) & (F.col("ts") > F.col("eval_ts") - seconds))
-    return inside.groupBy("eval_ts", *keys).agg((F.sum(F.when(F.col("from_ts") > F.col("eval_ts") - seconds, F.col("rise")).otherwise(0.0)) / seconds).alias("rate"))
+    """(eval_ts, keys, rate): rise of a total a second over the window before each evaluation, counter resets taken as new starts. The first
+    sample of a window has no rise, so the samples of each window are all that is sorted."""
+    before = F.lag("value").over(Window.partitionBy("eval_ts", *keys).orderBy("ts"))
+    stepped = within(samples, at, seconds).withColumn("before", before)
+    rise = F.when(F.col("before").isNull(), 0.0).when(F.col("value") < F.col("before"), F.col("value")).otherwise(F.col("value") - F.col("before"))
+    return stepped.groupBy("eval_ts", *keys).agg((F.sum(rise) / seconds).alias("rate"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, *keys: str, value: str = "n") -> DataFrame:
@@ -70,10 +76,9 @@ def histogram_quantile(buckets: DataFrame, q: float, *keys: str, value: str = "n
     w = Window.partitionBy(*keys).orderBy("le")
     total = F.max(value).over(Window.partitionBy(*keys)) if keys else F.max(value).over(Window.partitionBy(F.lit(1)))
     b = buckets.withColumn("below", F.coalesce(F.lag(value).over(w), F.lit(0.0))).withColumn("low", F.coalesce(F.lag("le").over(w), F.lit(0.0))).withColumn("rank", total * q)
-    hit = b.filter((F.col(value) >= F.col("rank")) & (F.col("rank") > 0))
+    hit = (F.col(value) >= F.col("rank")) & (F.col("rank") > 0)
     inside = F.when(F.col("le") == float("inf"), F.col("low")).otherwise(F.col("low") + (F.col("le") - F.col("low")) * F.when(F.col(value) > F.col("below"), (F.col("rank") - F.col("below")) / (F.col(value) - F.col("below"))).otherwise(F.lit(1.0)))
-    found = hit.groupBy(*keys).agg(F.min_by(inside, "le").alias("quantile"))
-    return buckets.select(*keys).distinct().join(found, list(keys), "left") if keys else found
+    return b.groupBy(*keys).agg(F.min_by(inside, F.when(hit, F.col("le"))).alias("quantile"))
 
 
 def latency_p95(scrapes: DataFrame, at: DataFrame, seconds: int, *pods: str) -> DataFrame:
@@ -83,6 +88,22 @@ def latency_p95(scrapes: DataFrame, at: DataFrame, seconds: int, *pods: str) ->
     return histogram_quantile(rise, 0.95, "eval_ts", value="rate").withColumnRenamed("quantile", "p95")
 
 
+def observed_p95(observed: DataFrame, at: DataFrame, seconds: int, *pods: str, bounds: Sequence[float] = BOUNDS) -> DataFrame:
+    """``latency_p95`` of the scrapes that pods give after each of their observations (pods, ts, s).
+
+    A rate takes differences inside its window alone, so counts may begin anew with it: observations are dealt by evaluation, and of each
+    one row is shuffled instead of one a bound. The rise of a count that is never reset is its last value without the first.
+    """
+    w = Window.partitionBy("eval_ts", *pods).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    les = [*map(float, bounds), float("inf")]
+    inside = within(observed.select(*pods, "ts", "s"), at, seconds).repartition("eval_ts")
+    counted = inside.select("eval_ts", *pods, *(F.count_if(F.col("s") <= le).over(w).alias(f"n{i}") for i, le in enumerate(les)))
+    rise = counted.groupBy("eval_ts", *pods).agg(*((F.max(f"n{i}") - F.min(f"n{i}")).alias(f"n{i}") for i in range(len(les))))
+    rate = rise.groupBy("eval_ts").agg(*((F.sum(f"n{i}") / seconds).alias(f"n{i}") for i in range(len(les))))
+    buckets = rate.select("eval_ts", F.explode(F.array(*(F.struct(F.lit(le).alias("le"), F.col(f"n{i}").alias("rate")) for i, le in enumerate(les)))).alias("b")).select("eval_ts", "b.*")
+    return histogram_quantile(buckets, 0.95, "eval_ts", value="rate").withColumnRenamed("quantile", "p95")
+
+
 def windowed_error_ratio(batches: DataFrame, seconds: int) -> DataFrame:
     """(until, ratio): share of failed batches (ts, failed) in each window of ``seconds``."""
     until = (F.floor(F.col("ts") / seconds) * seconds + seconds).alias("until")
