@@ -5,10 +5,11 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.cases import awkward, frame, rows
-from trackloom.llm import pu_learning, quality, queries, toxicity
+from trackloom.llm import common, pu_learning, quality, queries, toxicity
 
 BIG = "/root/testdata/sf0.1"
 
@@ -106,3 +107,23 @@ def test_risk_never_rewards_memorised_positives():
     role = np.repeat([1, 0], 300)
     model = pu_learning.fit_rows(x, [[]] * 600, [], role, 0.5, pu_learning.Settings(words=0))
     assert all(np.isfinite(b).all() for b in model.bins)
+
+
+class Captured:
+    """Stands for a DataFrame and keeps the function that is given to its workers."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **b: self
+
+
+def test_workers_forget_the_tables_of_other_operators(spark):
+    """In a pipeline one worker serves all stages: the encoder of packing must not stand beside the classifier's tables."""
+    df = Captured()
+    pu_learning.level_counts(df, lambda: pu_learning.features)
+    common.REMEMBERED[("encoder",)] = "tables"
+    rows = [b.to_pylist() for b in df.run(iter([pa.RecordBatch.from_pydict({"role": [1, 0], "text": ["one word", "word"]})]))]
+    assert not common.REMEMBERED and sum(map(len, rows)) == len(pu_learning.levels("one word")) + len(pu_learning.levels("word"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -25,11 +26,27 @@ def remembered(key: tuple, make: Callable[[], object]):
     """What ``make`` gave for this key in this worker process. Only one key is held, so that a worker that serves one operator after
     another never holds the tables of two."""
     if key not in REMEMBERED:
-        REMEMBERED.clear()
+        forget()
         REMEMBERED[key] = make()
     return REMEMBERED[key]
 
 
+def forget() -> None:
+    """Let go of what this worker process remembers. Operators that remember nothing call it too: a worker serves all stages of a
+    pipeline, and the tables of an earlier one would stand beside theirs."""
+    if REMEMBERED:
+        REMEMBERED.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free in this process back to the system; the C library else keeps it from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def named(name: str) -> Column:
     """The column of this exact name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -98,7 +115,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list], dict]], added:
             for part in slices(batch, names_of(batch).index(text_col)):
                 columns = function(part.column(names_of(part).index(text_col)).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(names_of(part).index(k)) for k in keep] + [pa.array(columns[k], t) for k, t in arrow.items()], names=names)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.select(*keep, text_col).mapInArrow(run, schema)
 
@@ -200,7 +217,7 @@ def fold_groups(df: DataFrame, keys: list[str], make: Callable[[], object], sche
                     fold, last = make(), rows[at]
                 yield from sent(fold.add(table.slice(at, i - at)))
                 at = i
-            pa.default_memory_pool().release_unused()
+            give_back()
         if fold is not None:
             yield from sent(fold.end())
 

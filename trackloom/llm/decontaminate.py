@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import named, slices, texts_of
+from trackloom.llm.common import forget, give_back, named, slices, texts_of
 from trackloom.llm.secret_scan import lower_ascii
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -83,6 +83,7 @@ def scanned(found: DataFrame, block, kind: str, last: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        forget()
         automaton = ahocorasick.Automaton()
         for pattern, (n, ids) in block.value.items():
             automaton.add_word(pattern, (len(pattern), n, ids))
@@ -93,6 +94,7 @@ def scanned(found: DataFrame, block, kind: str, last: bool) -> DataFrame:
                 rows = [scan(t, automaton, w, c, i) for t, w, c, i in zip(*(part.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True)]
                 n, *lists = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), *([] if last else [part.column(1)]), pa.array(n, pa.int64()), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32())), pa.array(lists[2], pa.list_(pa.string()))], names=names)
+            give_back()
 
     return found.mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names))
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, slices, texts_of
+from trackloom.llm.common import checkpoint, give_back, slices, texts_of
 from trackloom.llm.tokens import worker_encoder
 
 #: Pieces that a shard holds on average.
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                     rows += [(i, s, n := min(capacity, total - s), zlib.crc32(memoryview(ids)[4 * s : 4 * (s + n)]), total) for s in range(0, total, capacity)]
                 at, *columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            pa.default_memory_pool().release_unused()
+                give_back()
 
     return texts.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import checkpoint, map_texts, partitions_for, slices, texts_of
+from trackloom.llm.common import checkpoint, forget, give_back, map_texts, partitions_for, slices, texts_of
 
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\xBF×÷]+")
 DIGITS, UPPER, END = [*range(48, 58)], [*range(65, 91)], [33, 63]
@@ -232,6 +232,7 @@ def level_counts(texts: DataFrame, of: Callable[[], Callable[[str], Iterable[int
     """(word, role, n): of how many texts (role, text) each feature is one; a task sends each feature once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: dict[int, Counter] = {}
         features_of = of()
         for batch in batches:
@@ -239,9 +240,11 @@ def level_counts(texts: DataFrame, of: Callable[[], Callable[[str], Iterable[int
                 for role, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found = levels(text, features_of)
                     seen.setdefault(role, Counter()).update(found if wanted is None else found & wanted)
-            pa.default_memory_pool().release_unused()
+            give_back()
         for role, n in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array([role] * len(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["word", "role", "n"])
+        seen.clear()
+        give_back()
 
     return texts.select("role", "text").mapInArrow(count, "word bigint, role int, n bigint").groupBy("word", "role").agg(F.sum("n").alias("n"))
 
@@ -306,6 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, trusted: Column, settings: Settings)
     chosen = chosen_words(sample, docs, total, settings)
 
     def make() -> Callable[[list], dict]:
+        forget()
         at = {h: i for i, h in enumerate(chosen)}
         of = Wanted(chosen).__getitem__
         return lambda texts: {"shape": [shape(t) for t in texts], "columns": [sorted(at[h] for h in levels(t, of) if h in at) if at else [] for t in texts]}
@@ -326,6 +330,7 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, rest: i
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[list], dict]:
+        forget()
         score = shared.value.scorer()
         return lambda texts: {"score": score(texts).tolist()}
 
